@@ -1,14 +1,16 @@
 """The subpackage's queries, and SQL for those that SQL can state."""
 
-from termloom.llm import mixing, near_dedup, quality_rules, token_output
+from termloom.llm import mixing, near_dedup, phrase_dedup, quality_rules, token_output
 
 QUERIES = {
+    "op3_phrase_dedup": phrase_dedup.op3_phrase_dedup,
     "op4_token_output": token_output.op4_token_output,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
+    "op3_phrase_dedup": phrase_dedup.SQL,
     "op7_mixing": mixing.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }
