@@ -1,12 +1,13 @@
 """The subpackage's queries, and SQL for those that SQL can state."""
 
-from termloom.llm import mixing, near_dedup, phrase_dedup, quality_rules, token_output
+from termloom.llm import mixing, near_dedup, phrase_dedup, quality_rules, suffix_dedup, token_output
 
 QUERIES = {
     "op3_phrase_dedup": phrase_dedup.op3_phrase_dedup,
     "op4_token_output": token_output.op4_token_output,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op7_mixing": mixing.op7_mixing,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
