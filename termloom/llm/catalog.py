@@ -1,8 +1,9 @@
 """The subpackage's queries, and SQL for those that SQL can state."""
 
-from termloom.llm import mixing, near_dedup, phrase_dedup, quality_rules, suffix_dedup, token_output
+from termloom.llm import decontaminate, mixing, near_dedup, phrase_dedup, quality_rules, suffix_dedup, token_output
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_phrase_dedup": phrase_dedup.op3_phrase_dedup,
     "op4_token_output": token_output.op4_token_output,
     "op5_near_dedup": near_dedup.op5_near_dedup,
