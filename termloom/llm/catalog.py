@@ -1,6 +1,6 @@
 """The subpackage's queries, and SQL for those that SQL can state."""
 
-from termloom.llm import decontaminate, mixing, near_dedup, phrase_dedup, quality_rules, suffix_dedup, token_output
+from termloom.llm import decontaminate, html_text, mixing, near_dedup, phrase_dedup, quality_rules, suffix_dedup, token_output
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_html_text": html_text.op9_html_text,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
