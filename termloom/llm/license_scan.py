@@ -3,10 +3,10 @@
 Template words (lower-case letters and digits) are fingerprinted: hashes of GRAM consecutive words, of
 which winnowing keeps the least of every WINNOW. An inverted index maps a fingerprint to (template,
 position). The templates are a parameter; their index is bounded by MAX_TEMPLATE_WORDS, checked, and sent
-to the tasks. A document's fingerprints vote for (template, diagonal) by position; a template with votes,
-or a short one of which a fingerprint is met, is a candidate around the diagonals voted for. There the
-words are aligned with affine freedom inside a band of BAND diagonals, and the matched words give
-coverage (share of the template) and the span in the document. Nothing is shuffled.
+to the tasks. Equal fingerprints of a document vote for (template, diagonal); a template with enough votes
+near a diagonal is a candidate there. Its words are aligned with the document's inside a band of
+BAND diagonals to either side, and the matched words give coverage (share of the template) and the span
+in the document. Nothing is shuffled.
 
 Defined cases: null and empty texts match nothing; of overlapping matches of one template the one that
 covers more is kept, the earlier of equals; repeated rows are scanned each by itself; empty tables give
@@ -27,6 +27,8 @@ from termloom.llm.common import table
 
 GRAM, WINNOW, BAND = 3, 4, 8
 COVERAGE = 0.6
+#: Share of a template's fingerprints that must meet near one diagonal (one at least).
+VOTES = 0.1
 MAX_TEMPLATE_WORDS = 200_000
 _WORD = re.compile(r"[^\W_]+")
 
@@ -34,6 +36,9 @@ _WORD = re.compile(r"[^\W_]+")
 TEMPLATES: dict[str, str] = {
     "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
+    "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
+    "All rights reserved": "All rights reserved.",
     "MIT line": "Released under the MIT License.",
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
@@ -80,8 +85,12 @@ class Index:
             raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words")
         self.posting: dict[int, list[tuple[str, int]]] = defaultdict(list)
         self.first: set[str] = set()
+        self.lengths = sorted({min(len(words), GRAM) for words in self.words.values()})
+        self.votes: dict[str, int] = {}
         for name, words in self.words.items():
-            for h, at in fingerprints(words):
+            marks = fingerprints(words)
+            self.votes[name] = max(1, round(VOTES * len(marks)))
+            for h, at in marks:
                 self.posting[h].append((name, at))
                 self.first.add(words[at])
 
@@ -93,9 +102,9 @@ class Index:
         """
         first, posting = self.first, self.posting
         for at in [i for i, w in enumerate(words) if w in first]:
-            for k in (GRAM, *range(1, GRAM)):
+            for k in self.lengths:
                 for name, place in posting.get(hash_of(words[at : at + k]), ()):
-                    if k == GRAM or len(self.words[name]) == k:
+                    if min(len(self.words[name]), GRAM) == k:
                         yield name, place, at
 
 
@@ -129,8 +138,10 @@ def scan(text: str, index: Index, coverage: float = COVERAGE) -> list[tuple[str,
     words = [w for w, _, _ in found]
     votes: Counter = Counter((name, (at - place) // BAND) for name, place, at in index.hits(words))
     spans: dict[str, list[tuple]] = defaultdict(list)
-    for (name, cell), _ in sorted(votes.items()):
+    for (name, cell), n in sorted(votes.items()):
         template = index.words[name]
+        if n + votes.get((name, cell - 1), 0) + votes.get((name, cell + 1), 0) < index.votes[name]:
+            continue
         matched, first, last = aligned(template, words, cell * BAND + BAND // 2)
         if matched >= coverage * len(template):
             spans[name].append((-matched, first, last))
