@@ -98,18 +98,18 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Columns as in docs; n_chars, where there is one, is that of the text as taken. Rows that are equal
     in doc_id and size share one decision, the largest.
     """
-    names = docs.columns
     count = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     plan = mixed(docs).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_n")).agg(F.max("taken").alias("_taken"))
-    out = docs.withColumn("_size", count).where("_size > 0")
+    out = docs.select(F.struct("*").alias("_row"), "doc_id", "text", count.alias("_size")).where("_size > 0")
     out = out.join(plan, out["doc_id"].eqNullSafe(plan["_id"]) & (out["_size"] == plan["_n"]))
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
     words = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size"))
     cut = F.array_join(F.slice(F.split(F.btrim(F.col("text"), F.lit(SPACE)), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), 1, words.cast("int")), "")
     out = out.withColumn("text", F.when(words == F.col("_size"), F.col("text")).otherwise(cut))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 SQL = r"""
