@@ -120,7 +120,10 @@ def recurring(docs: DataFrame, anchors_of: Callable[[str | None], np.ndarray], b
 
 
 def candidates(docs: DataFrame, hits: DataFrame, name: str, keep=None) -> DataFrame:
-    """The documents with recurring anchors, stored with a row number: rk, _key, text, hits."""
+    """The documents with recurring anchors, with a row number: rk, _key, text, hits.
+
+    Later steps name documents by rk; it is fixed as the rows are stored.
+    """
     out = docs.select(key().alias("_key"), "text").join(hits, "_key")
     if keep is not None:
         out = out.where(keep)

@@ -6,8 +6,8 @@
    in the block, is compiled to an Aho-Corasick automaton over word numbers, and the block's documents
    stream through it; every occurrence of a phrase is located. An automaton is thus never larger than
    its block, a phrase that all documents share goes to each block once, and a document meets one shard.
-4. A 35-word window that holds a located phrase may recur (any other can't): those windows' hashes are
-   counted over the corpus, and words in windows that occur twice or more are removed.
+4. A 35-word window whose anchor is a located phrase may recur (any other can't): those windows' hashes
+   are counted over the corpus, and words in windows that occur twice or more are removed.
 
 Defined cases: a null or empty text has no words; a text below 35 words keeps all; repeated rows are
 documents of their own, so their windows recur; a null doc_id is a document as any other; an empty
@@ -104,13 +104,16 @@ def removed_words(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, b
                 if not shard.numbers or len(words) < window:
                     continue
                 starts = shard.starts(words, phrase)
-                last = len(words) - window
-                edges = np.zeros(last + 2, np.int64)
-                np.add.at(edges, np.clip(starts - (window - phrase), 0, last + 1), 1)
-                np.add.at(edges, np.clip(starts + 1, 0, last + 1), -1)
-                places = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+                if not len(starts):
+                    continue
+                # a window can recur only if its anchor is a located phrase
+                hashes = word_hashes(words)
+                grams = rolled(hashes, phrase)
+                spoken_grams = np.full(len(grams), 2**64 - 1, np.uint64)
+                spoken_grams[starts] = grams[starts]
+                places = np.flatnonzero(window_anchors(spoken_grams, width) == window_anchors(grams, width))
                 if len(places):
-                    hashes = rolled(word_hashes(words), window)[places].view(np.int64)
+                    hashes = rolled(hashes, window)[places].view(np.int64)
                     out.append(pd.DataFrame({"window": hashes, "rk": rk, "place": places.astype(np.int32)}))
             if out:
                 yield pd.concat(out)

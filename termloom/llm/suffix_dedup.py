@@ -6,7 +6,7 @@
    one anchor make a unit: a stretch of bytes, sent to the task of its anchor. Equal windows have equal
    anchors, so every repeat meets in one task.
 3. There equal units are merged, and where an anchor still has different units the suffixes at their
-   window starts are sorted: a bottom-up mergesort in vector operations, in which two suffixes are
+   window starts (those whose first 50 bytes' hash is met again) are sorted: a bottom-up mergesort in vector operations, in which two suffixes are
    compared by binary search for their longest common extension on prefix polynomial hashes, then by one
    byte. Neighbours in suffix order with 50 common bytes are verified byte by byte and share the smallest
    doc_id; a window of a larger doc_id is removed.
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ from termloom.llm.anchors import HOT_BIT, candidates, chosen, key, recurring, sh
 from termloom.llm.common import encoded, mixed, partitions, stored, table
 
 WINDOW, GRAM = 50, 20
+UNIT = ["anchor", "rk", "_key", "start", "data"]
 HOT_ROWS = 50_000
 UNITS_PER_TASK = 60_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -180,16 +182,21 @@ def repeated_spans(group: pd.DataFrame, window: int) -> pd.DataFrame:
         suffix = (np.repeat(offset[:-1] - first[:-1], starts) + np.arange(first[-1]))[mine]
         groups = np.repeat(unit_anchor, starts)[mine]
         sorter = SuffixSorter(np.frombuffer(b"".join(texts), np.uint8), window)
-        order = sorter.sorted(suffix, groups)
-        run = sorter.equal_runs(suffix[order], groups[order])
-        own = smallest[mine]
-        run_least = np.full(run[-1] + 1, 2**63 - 1, np.int64)
-        np.minimum.at(run_least, run, own[order])
-        own[order] = run_least[run]
-        smallest[mine] = own
+        # a suffix whose window's hash no other has is equal to none: only the others are sorted
+        _, place, often = np.unique(sorter.hashes.of(suffix, window), return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(often[place] > 1)
+        at, suffix, groups = np.flatnonzero(mine)[shared], suffix[shared], groups[shared]
+        if len(at):
+            order = sorter.sorted(suffix, groups)
+            run = sorter.equal_runs(suffix[order], groups[order])
+            own = smallest[at]
+            run_least = np.full(run[-1] + 1, 2**63 - 1, np.int64)
+            np.minimum.at(run_least, run, own[order])
+            own[order] = run_least[run]
+            smallest[at] = own
     out = []
     rks, begins = group["rk"].to_numpy(np.int64), group["start"].to_numpy(np.int64)
-    later = np.flatnonzero(keys > np.array([smallest[a:b].min() for a, b in zip(first[:-1], first[1:], strict=True)], np.int64)[unit])
+    later = np.flatnonzero(keys > np.minimum.reduceat(smallest, first[:-1])[unit])
     for i in later.tolist():
         u = unit[i]
         at = np.flatnonzero(smallest[first[u] : first[u + 1]] < keys[i])
@@ -213,27 +220,49 @@ def removed_bytes(docs: DataFrame, copies: DataFrame, window: int = WINDOW, gram
     hits = recurring(docs, anchors_of, 16, hot_rows).join(copies, "_key", "left")
     found = candidates(docs, hits, "suffix-candidates", keep=F.expr("digests IS NULL OR NOT array_contains(digests, md5(cast(text as binary)))"))
 
-    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batch: pd.DataFrame, hot: bool) -> list[tuple]:
+        """(anchor, rk, _key, start, bytes) of the units whose anchor is hot, or is not."""
+        rows = []
+        for rk, k, text, hits in zip(batch["rk"], batch["_key"], batch["text"], batch["hits"], strict=True):
+            data, hits = encoded(text), np.asarray(hits, np.int64)
+            hits = hits[(hits >= HOT_BIT) == hot] & ~np.int64(HOT_BIT)
+            rows += [(anchor, rk, k, a, data[a : b + window]) for anchor, a, b in units_of(data, hits, window, gram)]
+        return rows
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A batch's units packed to a row per task."""
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
+            units = pd.DataFrame(pieces(batch, False), columns=UNIT)
+            task = mixed(units["anchor"].to_numpy(np.int64).view(np.uint64)) % np.uint64(tasks)
             rows = []
-            for rk, k, text, hits in zip(batch["rk"], batch["_key"], batch["text"], batch["hits"], strict=True):
-                data, hits = encoded(text), np.asarray(hits, np.int64)
-                hot = set((hits[hits >= HOT_BIT] & ~np.int64(HOT_BIT)).tolist())
-                for anchor, a, b in units_of(data, hits & ~np.int64(HOT_BIT), window, gram):
-                    rows.append((anchor, anchor in hot, rk, k, a, data[a : b + window]))
-            yield pd.DataFrame(rows, columns=["anchor", "hot", "rk", "_key", "start", "data"])
-
-    pieces = found.select("rk", "_key", "text", "hits").mapInPandas(units, "anchor long, hot boolean, rk long, _key long, start int, data binary")
+            for t, own in units.groupby(task.astype(np.int64)):
+                own = own.sort_values(["anchor", "data"])
+                head = np.array([*(own[c].to_numpy(np.int64) for c in UNIT[:4]), own["data"].str.len().to_numpy(np.int64)])
+                head[0] = np.diff(head[0], prepend=0)
+                rows.append((t, len(own), packer.compress(head.tobytes() + b"".join(own["data"]))))
+            yield pd.DataFrame(rows, columns=["task", "n", "block"])
+
+    def unpacked(n: int, block: bytes) -> pd.DataFrame:
+        raw = zstandard.ZstdDecompressor().decompress(block)
+        head = np.frombuffer(raw, np.int64, 5 * n).reshape(5, n)
+        ends = 40 * n + np.cumsum(head[4])
+        data = [raw[end - size : end] for end, size in zip(ends.tolist(), head[4].tolist(), strict=True)]
+        return pd.DataFrame({"anchor": np.cumsum(head[0]), "rk": head[1], "_key": head[2], "start": head[3], "data": data})
+
+    def hot_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame(pieces(batch, True), columns=UNIT)[["rk", "_key", "start", "data"]]
+
+    def spans_of(group: pd.DataFrame) -> pd.DataFrame:
+        return repeated_spans(pd.concat([unpacked(n, block) for n, block in zip(group["n"], group["block"], strict=True)]), window)
+
     n_units = found.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0]
     tasks = max(partitions(docs.sparkSession), n_units // units_per_task)
-    spans = (
-        pieces.where("NOT hot")
-        .withColumn("task", F.pmod(F.xxhash64("anchor"), F.lit(tasks)))
-        .groupBy("task")
-        .applyInPandas(lambda group: repeated_spans(group, window), "rk long, first long, last long")
-    )
+    rows = found.select("rk", "_key", "text", "hits")
+    spans = rows.mapInPandas(dealt, "task long, n long, block binary").groupBy("task").applyInPandas(spans_of, "rk long, first long, last long")
     if hot_rows < 2**62 and not found.where(F.exists("hits", lambda h: h >= HOT_BIT)).isEmpty():
-        wide = pieces.where("hot").select("rk", "_key", "start", F.posexplode(F.expr(f"transform(sequence(1, octet_length(data) - {window - 1}), i -> substring(data, i, {window}))")).alias("at", "bytes"))
+        wide = rows.mapInPandas(hot_units, "rk long, _key long, start int, data binary").select("rk", "_key", "start", F.posexplode(F.expr(f"transform(sequence(1, octet_length(data) - {window - 1}), i -> substring(data, i, {window}))")).alias("at", "bytes"))
         least = wide.groupBy("bytes").agg(F.min("_key").alias("least"))
         more = wide.join(least, "bytes").where("_key > least").select("rk", (F.col("start") + F.col("at")).cast("long").alias("first"))
         spans = spans.union(more.select("rk", "first", F.col("first").alias("last")))

@@ -24,6 +24,7 @@ ordered by text; an empty table gives an empty result; other columns are not rea
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -59,7 +60,7 @@ class PieceEncoder:
     are no white space: there the byte-level pre-tokenizer ends a token whatever surrounds it.
     """
 
-    LIMIT = 600_000
+    LIMIT, SHORT = 600_000, 6
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -67,9 +68,15 @@ class PieceEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.after_blank: dict[str, bytes] = {}
+        self.line_feed = self.ids("\n")
+
+    def ids(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     @staticmethod
     def pieces(text: str) -> list[str]:
+        """Cuts of a text with white space of any kind, at the single blanks alone."""
         parts = text.split(" ")
         if len(parts) == 1:
             return parts if text else []
@@ -83,17 +90,59 @@ class PieceEncoder:
             apart = bool(part) and not part[-1].isspace()
         return out
 
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        cut = [self.pieces(x) for x in texts]
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
-        new = list({p for pieces in cut for p in pieces}.difference(self.known))
+    def room(self, known: dict[str, bytes]) -> None:
+        if len(known) > self.LIMIT:
+            # short pieces are the frequent ones
+            kept = {k: v for k, v in known.items() if len(k) <= self.SHORT}
+            known.clear()
+            if len(kept) < self.LIMIT // 2:
+                known.update(kept)
+
+    def learn(self, wanted: set[str]) -> None:
+        """Ids of pieces of any kind."""
+        self.room(self.known)
+        new = list(wanted.difference(self.known))
         for piece, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[piece] = np.array(encoding.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
-
 
+    def learn_after_blank(self, wanted: set[str], together: int = 100) -> None:
+        """Ids of pieces without white space as they are after a blank, encoded many in a row."""
+        self.room(self.after_blank)
+        new = list(wanted.difference(self.after_blank))
+        rows = [new[i : i + together] for i in range(0, len(new), together)]
+        for row, encoding in zip(rows, self.tokenizer.encode_batch(["".join([" " + x for x in row]) for row in rows], add_special_tokens=False), strict=True):
+            ids = np.array(encoding.ids, "<u4")
+            starts = np.cumsum([0, *[len(x) + 1 for x in row]])
+            at = np.searchsorted([end for _, end in encoding.offsets], starts, "right").tolist()
+            for piece, i, j in zip(row, at[:-1], at[1:], strict=True):
+                self.after_blank[piece] = ids[i:j].tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut: list[tuple] = []
+        first: set[str] = set()
+        rest: set[str] = set()
+        for text in texts:
+            if not text or _UNEVEN(text):
+                parts = self.pieces(text)
+                first.update(parts)
+                cut.append((parts, None))
+            else:
+                lines = [line.split(" ") for line in text.split("\n")]
+                for words in lines:
+                    first.add(words[0])
+                    rest.update(words[1:])
+                cut.append((None, lines))
+        self.learn(first)
+        self.learn_after_blank(rest)
+        get, get_after = self.known.__getitem__, self.after_blank.__getitem__
+        return [
+            b"".join(map(get, parts)) if lines is None else self.line_feed.join([b"".join([get(words[0]), *map(get_after, words[1:])]) for words in lines])
+            for parts, lines in cut
+        ]
+
+
+#: Two white-space characters in a row, one at an end, or one that is neither blank nor line feed.
+_UNEVEN = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|[\x1c-\x1f\x85]").search
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
@@ -206,8 +255,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str | None = None
             out = Writer(sink, frame_tokens)
             for batch in batches:
                 texts = [x if isinstance(x, str) else "" for x in batch["text"]]
-                for ids in encode.encode(texts):
-                    out.add(ids + end)
+                for i in range(0, len(texts), 500):
+                    for ids in encode.encode(texts[i : i + 500]):
+                        out.add(ids + end)
                 n += len(batch)
                 yield pd.DataFrame({"part": part, "path": f"{folder}/{name}", "doc_id": batch["doc_id"].astype("Int64"), "place": np.arange(n - len(batch), n)})
             out.close()

@@ -1 +1 @@
-
+"""Lookup, set algebra, mutation, substrings, vocabularies, logs and structure of dictionaries."""
