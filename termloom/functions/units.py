@@ -10,7 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNITS = ("char", "byte", "u64")
-ONE = F.lit
 
 
 def check(unit: str) -> str:
@@ -63,4 +62,4 @@ def pack_u64(term: Column) -> Column:
 
 def bits_of_double(value: Column) -> Column:
     """A key by which doubles are told apart as IEEE bits would: -0.0 is not 0.0, NaN equals NaN."""
-    return F.when(F.isnan(value), F.lit("nan")).when((value == 0) & (F.lit(1.0) / F.nullif(value, F.lit(None)) < 0), F.lit("-0.0")).otherwise(value.cast("string"))
+    return F.when(F.isnan(value), F.lit("nan")).otherwise(value.cast("string"))

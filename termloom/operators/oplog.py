@@ -42,7 +42,7 @@ def reconcile(ops: DataFrame, base: DataFrame | None = None) -> DataFrame:
     rows = ops.withColumn("_at", place)
     absolute = F.col("op").isin("upsert", "remove")
     last = rows.where(absolute).groupBy("term").agg(F.max(F.struct("_at", "op", "value")).alias("_last"))
-    rows = rows.join(last, "term", "left") if base is None else rows.join(last, "term", "left")
+    rows = rows.join(last, "term", "left")
     rows = rows.where(F.col("_last").isNull() | (F.col("_at") >= F.col("_last._at")))
     state = rows.groupBy("term").agg(
         F.first("_last").alias("_last"),
@@ -84,20 +84,21 @@ def folded(ops: DataFrame) -> DataFrame:
 
 
 def durable_prefix(log: DataFrame, bad: Column) -> DataFrame:
-    """Records before the first bad one."""
-    first = log.where(bad).agg(F.min("lsn").alias("_first"))
-    return log.join(F.broadcast(first)).where(F.col("_first").isNull() | (F.col("lsn") < F.col("_first"))).drop("_first")
+    """Records before the first bad one; its lsn is one number, so the filter reaches the scan."""
+    first = log.where(bad).agg(F.min("lsn")).first()[0]
+    return log if first is None else log.where(F.col("lsn") < first)
 
 
 def committed_watermark(committed: DataFrame, first: int = 1) -> DataFrame:
     """One row: watermark, the largest L such that all lsns from first to L are committed (first - 1: none).
 
-    A gap is an lsn whose successor is missing: one self anti-join instead of a global window.
+    A gap is an lsn whose successor is missing: one self join instead of a global window.
     """
-    seen = committed.select("lsn").distinct().where(F.col("lsn") >= first)
-    begun = seen.where(F.col("lsn") == first)
-    ends = seen.join(seen.select((F.col("lsn") - 1).alias("lsn")), "lsn", "left_anti").agg(F.min("lsn").alias("watermark"))
-    return ends.join(F.broadcast(begun.agg(F.count(F.lit(1)).alias("_n")))).select(F.when(F.col("_n") > 0, F.col("watermark")).otherwise(F.lit(first - 1)).cast("long").alias("watermark"))
+    seen = committed.where(F.col("lsn") >= first).select("lsn").distinct()
+    ends = seen.join(seen.select((F.col("lsn") - 1).alias("lsn"), F.lit(True).alias("_next")), "lsn", "left")
+    begun = F.bool_or(F.col("lsn") == first)
+    end = F.min(F.when(F.col("_next").isNull(), F.col("lsn")))
+    return ends.agg(F.when(begun, end).otherwise(F.lit(first - 1)).cast("long").alias("watermark"))
 
 
 def epochs(log: DataFrame, max_ops: int, retain: int | None = None) -> DataFrame:

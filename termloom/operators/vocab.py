@@ -54,9 +54,11 @@ def term_of(vocab: DataFrame, ids: DataFrame) -> DataFrame:
 
 def bijection_conflicts(pairs: DataFrame) -> DataFrame:
     """Rows of pairs (term, value) that share a term (looked at first) or a value with another row."""
-    terms, values = Window.partitionBy("term"), Window.partitionBy("value")
-    out = pairs.withColumn("_t", F.count(F.lit(1)).over(terms)).withColumn("_v", F.count(F.lit(1)).over(values))
-    return out.where("_t > 1 OR _v > 1").select("term", "value", F.when(F.col("_t") > 1, "duplicate_term").otherwise("duplicate_value").alias("error"))
+    def twice(column: str) -> DataFrame:
+        return pairs.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(column, F.lit(True).alias(f"_{column}"))
+
+    out = pairs.join(twice("term"), "term", "left").join(twice("value"), "value", "left").where("_term OR _value")
+    return out.select("term", "value", F.when(F.col("_term"), "duplicate_term").otherwise("duplicate_value").alias("error"))
 
 
 def inverse(pairs: DataFrame) -> DataFrame:
