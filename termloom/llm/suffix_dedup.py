@@ -96,15 +96,32 @@ class SuffixSorter:
             step >>= 1
         return low
 
-    def less(self, a: np.ndarray, b: np.ndarray, or_equal: bool) -> np.ndarray:
-        at = self.common(a, b)
-        end = at >= self.limit
-        at = np.where(end, 0, at)
-        return np.where(end, or_equal, self.data[a + at] < self.data[b + at])
+    def less(self, suffixes: np.ndarray, heads: np.ndarray, whole: np.ndarray, x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
+        """Whether suffix x comes before suffix y, numbers of suffixes; of equal ones or_equal says.
+
+        Most pairs differ in their first 8 bytes (heads) or have equal hashes of all limit bytes (whole);
+        for the others the common extension is searched.
+        """
+        left, right = heads[x], heads[y]
+        out = left < right
+        tied = np.flatnonzero(left == right)
+        equal = whole[x[tied]] == whole[y[tied]]
+        out[tied[equal]] = or_equal[tied[equal]]
+        tied = tied[~equal]
+        if len(tied):
+            a, b = suffixes[x[tied]], suffixes[y[tied]]
+            at = self.common(a, b)
+            end = at >= self.limit
+            at[end] = 0
+            out[tied] = np.where(end, or_equal[tied], self.data[a + at] < self.data[b + at])
+        return out
 
     def sorted(self, suffixes: np.ndarray, group: np.ndarray) -> np.ndarray:
         """The order of the suffixes inside each group (groups are runs of equal numbers)."""
         n = len(suffixes)
+        heads, whole = np.zeros(n, np.uint64), self.hashes.of(suffixes, self.limit)
+        for i in range(min(8, self.limit)):
+            heads = (heads << np.uint64(8)) | self.data[suffixes + i].astype(np.uint64)
         order = np.arange(n)
         begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         sizes = np.diff(np.concatenate([begin, [n]]))
@@ -118,12 +135,11 @@ class SuffixSorter:
             other = first[at] + np.where(left, pair + width, pair)
             stop = first[at] + np.minimum(np.where(left, pair + 2 * width, pair + width), size[at])
             low, high = np.minimum(other, stop), stop.copy()
-            mine = suffixes[order[at]]
+            mine = order[at]
             while len(busy := np.flatnonzero(low < high)):
                 middle = (low[busy] + high[busy]) // 2
-                theirs = suffixes[order[middle]]
                 # stable: a left element goes before its equals on the right
-                up = np.where(left[busy], self.less(theirs, mine[busy], False), self.less(theirs, mine[busy], True))
+                up = self.less(suffixes, heads, whole, order[middle], mine[busy], ~left[busy])
                 low[busy] = np.where(up, middle + 1, low[busy])
                 high[busy] = np.where(up, high[busy], middle)
             rank = low - np.minimum(other, stop)
@@ -197,12 +213,17 @@ def repeated_spans(group: pd.DataFrame, window: int) -> pd.DataFrame:
     out = []
     rks, begins = group["rk"].to_numpy(np.int64), group["start"].to_numpy(np.int64)
     later = np.flatnonzero(keys > np.minimum.reduceat(smallest, first[:-1])[unit])
-    for i in later.tolist():
-        u = unit[i]
-        at = np.flatnonzero(smallest[first[u] : first[u + 1]] < keys[i])
-        cuts = np.flatnonzero(np.diff(at) > 1) + 1
-        for a, b in zip(at[np.concatenate([[0], cuts])], at[np.concatenate([cuts - 1, [len(at) - 1]])], strict=True):
-            out.append((rks[i], begins[i] + a, begins[i] + b))
+    for some in np.array_split(later, len(later) // 20_000 + 1):
+        n = starts[unit[some]]
+        row = np.repeat(np.arange(len(some)), n)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        at = np.flatnonzero(smallest[first[unit[some]][row] + place] < keys[some][row])
+        if len(at):
+            apart = (np.diff(at) > 1) | (np.diff(row[at]) != 0)
+            a, b = at[np.concatenate([[True], apart])], at[np.concatenate([apart, [True]])]
+            mine = some[row[a]]
+            out.append(np.stack([rks[mine], begins[mine] + place[a], begins[mine] + place[b]], axis=1))
+    out = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
     return pd.DataFrame(out, columns=columns, dtype=np.int64)
 
 
