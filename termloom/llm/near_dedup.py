@@ -3,11 +3,12 @@
 1. Every text becomes a set of hashed word shingles, of which a signature of minima, the bands of the
    signature and a digest of the set are kept. Texts with equal sets form one class, and only the
    class's smallest doc_id (its representative) goes on: copies never meet in pairs.
-2. Representatives that share a band meet in a bucket. Members are ranked, and blocks of ranks are
-   compared with the members behind them; pairs within one component are left out, as they can't change
-   the result. The first block is the first member of each bucket, which links nearly all there is to
-   link; the next blocks take what is still apart, as many ranks as keep the pairs of a block in
-   proportion to the input. All blocks together cover every pair of a bucket that joins two components.
+2. Representatives that share a band meet in a bucket. LEADERS times, the first member of each bucket that
+   is not in the bucket's largest component is paired with the members behind and before it, which links
+   nearly all there is to link. What is still apart then is compared in blocks: members outside the bucket's
+   largest component, in chunks of CHUNK, meet the chunks of all its members, a row for two chunks; pairs
+   are formed inside the task, in the first band that they share only. Pairs inside a component are left
+   out, as they can't change the result; all others of a bucket are compared.
 3. A pair's signatures are compared batch by batch. With m of n minima equal and a uniform prior the
    posterior of the similarity is Beta(m + 1, n - m + 1); the pair is dropped once the posterior
    probability of reaching the threshold is below the chosen miss probability.
@@ -27,6 +28,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +36,14 @@ from pyspark.sql.window import Window
 
 from termloom.llm.common import encoded, mixed, rolled, stored, table, word_hashes
 
-BANDS, ROWS, BATCH = 28, 5, 20
+HASHES, BATCH = 256, 32
 MISS = 1e-6
+#: Most that banding may miss of the pairs whose similarity is exactly the threshold.
+BAND_MISS = 3e-4
+LEADERS, CHUNK = 2, 256
 _RANDOM = np.random.default_rng(20240229)
-_A = _RANDOM.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_B = _RANDOM.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+_A = _RANDOM.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
+_B = _RANDOM.integers(0, 2**32, HASHES, dtype=np.uint32)
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -52,23 +57,33 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    out = np.full(HASHES, 2**32 - 1, np.uint32)
     for i in range(0, len(x), 2048):
         out = np.minimum(out, (np.multiply.outer(_A, x[i : i + 2048]) + _B[:, None]).min(axis=1))
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    out = np.arange(BANDS, dtype=np.uint64)
-    for j in range(ROWS):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
+@lru_cache
+def band_rows(threshold: float) -> int:
+    """The most rows of a band, and so the fewest chance meetings, that banding at BAND_MISS allows."""
+    return max(r for r in range(1, 17) if r == 1 or (1 - threshold**r) ** (HASHES // r) <= BAND_MISS)
+
+
+def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
+    """The keys of the bands of a signature, or of each row of a matrix of signatures."""
+    bands = HASHES // rows
+    values = sig[..., : bands * rows].reshape(*sig.shape[:-1], bands, rows).astype(np.uint64)
+    out = np.arange(bands, dtype=np.uint64)
+    for j in range(rows):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + values[..., j])
     return out.view(np.int64)
 
 
-def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """doc_id, n_shingles, digest of the set, sig and bands; one row per row of docs."""
 
+    band = band_rows(threshold)
+
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -76,7 +91,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 s = shingle_set(text, shingle)
                 if len(s):
                     sig = signature(s)
-                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), sig.tobytes(), band_keys(sig)))
+                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), sig.tobytes(), band_keys(sig, band)))
                 else:
                     rows.append((0, None, None, None))
             out = pd.DataFrame(rows, columns=["n_shingles", "digest", "sig", "bands"])
@@ -97,27 +112,65 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
     return n + 1
 
 
+def undropped(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float, miss: float) -> np.ndarray:
+    """Numbers of the pairs (left[x], right[y]) of signatures that the sequential comparison does not drop."""
+    alive, equal = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for n in range(BATCH, HASHES + 1, BATCH):
+        equal = equal + (left[x[alive], n - BATCH : n] == right[y[alive], n - BATCH : n]).sum(axis=1)
+        keep = equal >= least_matches(n, threshold, miss)
+        alive, equal = alive[keep], equal[keep]
+    return alive
+
+
 def surviving(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float = MISS) -> DataFrame:
     """Pairs (a, b) that the sequential comparison of their signatures does not drop."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            left = np.frombuffer(b"".join(batch["_sa"]), np.uint32).reshape(len(batch), -1)
-            right = np.frombuffer(b"".join(batch["_sb"]), np.uint32).reshape(len(batch), -1)
-            alive, equal = np.arange(len(batch)), np.zeros(len(batch), np.int64)
-            for n in range(BATCH, BANDS * ROWS + 1, BATCH):
-                equal = equal + (left[alive, n - BATCH : n] == right[alive, n - BATCH : n]).sum(axis=1)
-                keep = equal >= least_matches(n, threshold, miss)
-                alive, equal = alive[keep], equal[keep]
-            yield batch.iloc[alive][["a", "b"]]
+            if len(batch):
+                left, right = (np.frombuffer(b"".join(batch[c]), np.uint32).reshape(len(batch), -1) for c in ("_sa", "_sb"))
+                own = np.arange(len(batch))
+                yield batch.iloc[undropped(left, right, own, own, threshold, miss)][["a", "b"]]
 
     joined = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("_sa")), "a")
     joined = joined.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("_sb")), "b")
     return joined.select("a", "b", "_sa", "_sb").mapInPandas(compare, "a long, b long")
 
 
+def surviving_apart(members: DataFrame, sigs: DataFrame, threshold: float, miss: float = MISS) -> DataFrame:
+    """Pairs (a, b) of different labels in a bucket that the sequential comparison does not drop.
+
+    members: key, rank, doc_id, size, label, major (the bucket's largest component).
+    """
+    rows, low = band_rows(threshold), threshold - 1e-9
+
+    def unpack(chunk: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sig = np.frombuffer(b"".join(chunk.field("sig").to_pylist()), np.uint32).reshape(len(chunk), HASHES)
+        return *(chunk.field(c).to_numpy() for c in ("doc_id", "label", "size")), sig
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, major, xs, ys in zip(batch["key"].to_pylist(), batch["major"].to_pylist(), batch["xs"], batch["ys"], strict=True):
+                (ids, labels, sizes, sig), (ids2, labels2, sizes2, sig2) = unpack(xs.values), unpack(ys.values)
+                apart = labels[:, None] != labels2
+                apart &= (labels2 == major) | (ids[:, None] < ids2)  # both sides outside the largest: once
+                apart &= np.minimum(sizes[:, None], sizes2) >= low * np.maximum(sizes[:, None], sizes2)
+                x, y = np.nonzero(apart)
+                bands, bands2 = band_keys(sig, rows), band_keys(sig2, rows)
+                own = int(np.flatnonzero(bands[0] == key)[0])
+                fresh = ~(bands[x, :own] == bands2[y, :own]).any(axis=1)
+                x, y = x[fresh], y[fresh]
+                keep = undropped(sig, sig2, x, y, threshold, miss)
+                if len(keep):
+                    yield pa.record_batch({"a": pa.array(ids[x[keep]], pa.int64()), "b": pa.array(ids2[y[keep]], pa.int64())})
+
+    full = members.join(sigs, "doc_id").withColumn("chunk", F.floor(F.col("rank") / CHUNK))
+    gathered = F.collect_list(F.struct("doc_id", "label", "size", "sig"))
+    one = full.where("label != major").groupBy("key", "major", "chunk").agg(gathered.alias("xs")).drop("chunk")
+    other = full.groupBy("key", "chunk").agg(gathered.alias("ys")).drop("chunk")
+    return one.join(other, "key").select("key", "major", "xs", "ys").mapInArrow(compare, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union."""
 
@@ -156,12 +209,12 @@ def components(edges: DataFrame) -> DataFrame:
         known = state
 
 
-def linked_components(docs: DataFrame, shingle: int = 3, percent: int = 85, pairs_per_doc: int = 8) -> DataFrame:
+def linked_components(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id; one row per row of docs (doc_id, text)."""
-    signed = stored(signatures(docs, shingle), "signatures")
+    signed = stored(signatures(docs, shingle, percent / 100), "signatures")
     classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = stored(signed.join(classes, "digest").where("doc_id = rep").dropDuplicates(["doc_id", "digest"]).select("doc_id", "sig", "bands"), "representatives")
-    exploded = reps.select("doc_id", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "doc_id").distinct()
+    reps = stored(signed.join(classes, "digest").where("doc_id = rep").dropDuplicates(["doc_id", "digest"]).select("doc_id", F.col("n_shingles").cast("int").alias("size"), "sig", "bands"), "representatives")
+    exploded = reps.select("doc_id", "size", F.explode("bands").alias("key"))
     bucket = Window.partitionBy("key")
     ranked = exploded.withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1")
     ranked = stored(ranked.withColumn("rank", F.row_number().over(bucket.orderBy("doc_id"))), "buckets")
@@ -173,33 +226,32 @@ def linked_components(docs: DataFrame, shingle: int = 3, percent: int = 85, pair
 
     sets = stored(docs.select("doc_id", "text").join(members, "doc_id", "left_semi").mapInPandas(sets_of, "doc_id long, shingles binary"), "sets")
     sigs = reps.select("doc_id", "sig")
-    limit = max(100_000, pairs_per_doc * reps.count())
-    links, labels, done, width = None, None, 0, 1
-    while True:
-        here = ranked.where(F.col("rank") > done)
-        if labels is None:
-            here = here.withColumn("label", F.col("doc_id"))
+    here, links, labels = ranked.withColumn("label", F.col("doc_id")).withColumn("major", F.lit(None).cast("long")), None, None
+    for turn in range(LEADERS + 1):
+        if turn < LEADERS:
+            leader = F.min_by(F.struct("doc_id", "size", "label"), F.when(F.col("major").isNull() | (F.col("label") != F.col("major")), F.col("rank")))
+            leaders = here.groupBy("key").agg(leader.alias("_leader"))
+            a, n = F.col("_leader.doc_id"), F.col("_leader.size")
+            # sets of sizes too far apart can't reach the threshold
+            near = F.lit(100) * F.least("size", n) >= percent * F.greatest("size", n)
+            pairs = here.join(leaders, "key").where((F.col("label") != F.col("_leader.label")) & near).select(F.least(a, "doc_id").alias("a"), F.greatest(a, "doc_id").alias("b"))
+            candidates = surviving(pairs.distinct(), sigs, percent / 100)
         else:
-            here = here.join(labels, here["doc_id"] == labels["node"], "left").select("key", "doc_id", "rank", F.coalesce("label", "doc_id").alias("label"))
-            here = stored(here, "members")
-            own = here.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-            apart = own.groupBy("key").agg((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))).alias("apart"), F.sum("n").alias("n")).where("apart > 0")
-            left, rows = apart.agg(F.coalesce(F.sum("apart") / 2, F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-            if not left:
-                break
-            here = here.join(apart.select("key"), "key", "left_semi")
-            width = 2**31 - 1 - done if left <= limit else max(1, limit // rows)
-        first = here.where(F.col("rank") <= done + width).select("key", F.col("doc_id").alias("a"), F.col("rank").alias("_ra"), F.col("label").alias("_la"))
-        behind = here.select("key", F.col("doc_id").alias("b"), F.col("rank").alias("_rb"), F.col("label").alias("_lb"))
-        pairs = first.join(behind, "key").where("_ra < _rb AND _la != _lb").select("a", "b").distinct()
-        found = stored(verified(surviving(pairs, sigs, percent / 100), sets, percent), "links")
+            candidates = surviving_apart(here, sigs, percent / 100).distinct()
+        found = stored(verified(candidates, sets, percent), "links")
         links = found if links is None else links.union(found)
-        labels = components(links)
-        done += width
-        if done >= 2**31 - 1:
+        if labels is None or not found.isEmpty():
+            labels = components(links)
+        if turn == LEADERS:
+            break
+        here = ranked.join(labels, ranked["doc_id"] == labels["node"], "left").select("key", "doc_id", "size", "rank", F.coalesce("label", "doc_id").alias("label"))
+        own = here.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+        apart = own.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        here = stored(here.join(apart.select("key", "major"), "key"), "members")
+        if here.isEmpty():
             break
     out = signed.join(classes, "digest", "left")
-    out = out.join(labels, out["rep"] == labels["node"], "left") if labels is not None else out.withColumn("label", F.lit(None).cast("long"))
+    out = out.join(labels, out["rep"] == labels["node"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
