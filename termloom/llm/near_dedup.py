@@ -7,7 +7,8 @@
    is not in the bucket's largest component is paired with the members behind and before it, which links
    nearly all there is to link. What is still apart then is compared in blocks: members outside the bucket's
    largest component, in chunks of CHUNK, meet the chunks of all its members, a row for two chunks; pairs
-   are formed inside the task, in the first band that they share only. Pairs inside a component are left
+   are formed inside the task, in the first band that they share only, and first the likeliest of each
+   document and chunk alone goes on. Buckets of up to SMALL members are joined to pairs at once. Pairs inside a component are left
    out, as they can't change the result; all others of a bucket are compared.
 3. A pair's signatures are compared batch by batch. With m of n minima equal and a uniform prior the
    posterior of the similarity is Beta(m + 1, n - m + 1); the pair is dropped once the posterior
@@ -40,7 +41,7 @@ HASHES, BATCH = 256, 32
 MISS = 1e-6
 #: Most that banding may miss of the pairs whose similarity is exactly the threshold.
 BAND_MISS = 3e-4
-LEADERS, CHUNK = 2, 256
+LEADERS, CHUNK, SMALL = 2, 256, 32
 _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
 _B = _RANDOM.integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -112,14 +113,14 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
     return n + 1
 
 
-def undropped(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float, miss: float) -> np.ndarray:
-    """Numbers of the pairs (left[x], right[y]) of signatures that the sequential comparison does not drop."""
+def undropped(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float, miss: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the pairs (left[x], right[y]) that the sequential comparison does not drop, and their equal minima."""
     alive, equal = np.arange(len(x)), np.zeros(len(x), np.int64)
     for n in range(BATCH, HASHES + 1, BATCH):
         equal = equal + (left[x[alive], n - BATCH : n] == right[y[alive], n - BATCH : n]).sum(axis=1)
         keep = equal >= least_matches(n, threshold, miss)
         alive, equal = alive[keep], equal[keep]
-    return alive
+    return alive, equal
 
 
 def surviving(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float = MISS) -> DataFrame:
@@ -130,17 +131,18 @@ def surviving(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float =
             if len(batch):
                 left, right = (np.frombuffer(b"".join(batch[c]), np.uint32).reshape(len(batch), -1) for c in ("_sa", "_sb"))
                 own = np.arange(len(batch))
-                yield batch.iloc[undropped(left, right, own, own, threshold, miss)][["a", "b"]]
+                yield batch.iloc[undropped(left, right, own, own, threshold, miss)[0]][["a", "b"]]
 
     joined = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("_sa")), "a")
     joined = joined.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("_sb")), "b")
     return joined.select("a", "b", "_sa", "_sb").mapInPandas(compare, "a long, b long")
 
 
-def surviving_apart(members: DataFrame, sigs: DataFrame, threshold: float, miss: float = MISS) -> DataFrame:
+def surviving_apart(members: DataFrame, sigs: DataFrame, threshold: float, best: bool, miss: float = MISS) -> DataFrame:
     """Pairs (a, b) of different labels in a bucket that the sequential comparison does not drop.
 
-    members: key, rank, doc_id, size, label, major (the bucket's largest component).
+    members: key, rank, doc_id, size, label, major (the bucket's largest component). best: only the pair with
+    most equal minima of each document outside the largest component and chunk.
     """
     rows, low = band_rows(threshold), threshold - 1e-9
 
@@ -160,7 +162,10 @@ def surviving_apart(members: DataFrame, sigs: DataFrame, threshold: float, miss:
                 own = int(np.flatnonzero(bands[0] == key)[0])
                 fresh = ~(bands[x, :own] == bands2[y, :own]).any(axis=1)
                 x, y = x[fresh], y[fresh]
-                keep = undropped(sig, sig2, x, y, threshold, miss)
+                keep, equal = undropped(sig, sig2, x, y, threshold, miss)
+                if best:
+                    keep = keep[np.lexsort((-equal, x[keep]))]
+                    keep = keep[np.unique(x[keep], return_index=True)[1]]
                 if len(keep):
                     yield pa.record_batch({"a": pa.array(ids[x[keep]], pa.int64()), "b": pa.array(ids2[y[keep]], pa.int64())})
 
@@ -227,7 +232,7 @@ def linked_components(docs: DataFrame, shingle: int = 3, percent: int = 85) -> D
     sets = stored(docs.select("doc_id", "text").join(members, "doc_id", "left_semi").mapInPandas(sets_of, "doc_id long, shingles binary"), "sets")
     sigs = reps.select("doc_id", "sig")
     here, links, labels = ranked.withColumn("label", F.col("doc_id")).withColumn("major", F.lit(None).cast("long")), None, None
-    for turn in range(LEADERS + 1):
+    for turn in range(LEADERS + 2):
         if turn < LEADERS:
             leader = F.min_by(F.struct("doc_id", "size", "label"), F.when(F.col("major").isNull() | (F.col("label") != F.col("major")), F.col("rank")))
             leaders = here.groupBy("key").agg(leader.alias("_leader"))
@@ -237,16 +242,24 @@ def linked_components(docs: DataFrame, shingle: int = 3, percent: int = 85) -> D
             pairs = here.join(leaders, "key").where((F.col("label") != F.col("_leader.label")) & near).select(F.least(a, "doc_id").alias("a"), F.greatest(a, "doc_id").alias("b"))
             candidates = surviving(pairs.distinct(), sigs, percent / 100)
         else:
-            candidates = surviving_apart(here, sigs, percent / 100).distinct()
+            large = here.where(F.col("n") > SMALL)
+            candidates = surviving_apart(large, sigs, percent / 100, turn == LEADERS).distinct()
+        if turn == LEADERS:
+            one, other = (here.where(F.col("n") <= SMALL).select("key", *[F.col(c).alias(f"{c}{i}") for c in ("doc_id", "label", "size")]) for i in (1, 2))
+            near = F.lit(100) * F.least("size1", "size2") >= percent * F.greatest("size1", "size2")
+            pairs = one.join(other, "key").where((F.col("doc_id1") < F.col("doc_id2")) & (F.col("label1") != F.col("label2")) & near)
+            candidates = candidates.union(surviving(pairs.select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).distinct(), sigs, percent / 100))
         found = stored(verified(candidates, sets, percent), "links")
         links = found if links is None else links.union(found)
         if labels is None or not found.isEmpty():
             labels = components(links)
-        if turn == LEADERS:
+        if turn > LEADERS:
             break
-        here = ranked.join(labels, ranked["doc_id"] == labels["node"], "left").select("key", "doc_id", "size", "rank", F.coalesce("label", "doc_id").alias("label"))
+        if turn == LEADERS:
+            ranked = ranked.where(F.col("n") > SMALL)
+        here = ranked.join(labels, ranked["doc_id"] == labels["node"], "left").select("key", "doc_id", "size", "rank", "n", F.coalesce("label", "doc_id").alias("label"))
         own = here.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        apart = own.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        apart = own.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count(F.lit(1)).alias("_labels")).where("_labels > 1")
         here = stored(here.join(apart.select("key", "major"), "key"), "members")
         if here.isEmpty():
             break
