@@ -1,9 +1,10 @@
 """Operator 2, benchmark decontamination by template canonicalisation, in SQL functions only.
 
 Texts become templates: numbers, names (capitalised words inside a sentence) and units of measure are
-replaced with <num>, <name> and <unit>, other words are lower-cased and lose punctuation at their ends.
-Windows of WINDOW template words are hashed and joined with those of the benchmark; an item with fewer
-words is one window. For each document, item and offset the aligned slots are compared: the values must
+replaced with <num>, <name> and <unit>, other words are case-folded and lose punctuation at their ends.
+Windows of WINDOW words are hashed and joined with those of the benchmark, of the template, of the one
+without names (in capitals or title case names can't be told) and of the plain words, which a literal
+copy always meets whatever its case or line breaks; an item with fewer words is one window. For each document, item and offset the aligned slots are compared: the values must
 correspond one to one (a re-parameterised question replaces a value by the same value everywhere). A
 document is contaminated by an item if consistent matches hold a share of the item's windows.
 
@@ -38,73 +39,111 @@ def words_of(text: Column) -> Column:
 
 
 def plain(text: Column) -> Column:
-    """Lower-cased, punctuation at the ends of words removed (a word of nothing else keeps a character)."""
+    """Case-folded, punctuation at the ends of words removed (a word of nothing else keeps a character)."""
     text = F.regexp_replace(text, r"""(?<=\S)[.,;:!?)"'\]]+(?=[\x20\x09-\x0D]|$)""", "")
-    return F.lower(F.regexp_replace(text, r"""(?<=^|[\x20\x09-\x0D])["'(\[]+(?=[^\x20\x09-\x0D])""", ""))
+    text = F.lower(F.regexp_replace(text, r"""(?<=^|[\x20\x09-\x0D])["'(\[]+(?=[^\x20\x09-\x0D])""", ""))
+    return F.replace(F.translate(text, "ς", "σ"), F.lit("ß"), F.lit("ss"))
 
 
-def template(text: Column) -> Column:
-    """The text with typed placeholders; it has as many words as the text."""
-    text = F.regexp_replace(text, r"(?<=[^.!?:\x20\x09-\x0D][\x20])\p{Lu}[\p{L}'-]*", "<name>")
+def template(text: Column, names: bool = True) -> Column:
+    """The text with typed placeholders; it has as many words as the text. Without names case plays no part."""
+    if names:
+        text = F.regexp_replace(F.regexp_replace(text, SPACE_RE, " "), r"(?<=[^.!?:\x20][\x20])\p{Lu}[\p{L}'-]*", "<name>")
     text = F.regexp_replace(plain(text), r"(?<=^|[\x20\x09-\x0D(\[])[$€£+-]?\p{Nd}[\p{Nd}.,:/%-]*", "<num>")
-    return F.regexp_replace(text, rf"(?<=<num>[\x20]?)(?:{UNITS})(?=[\x20\x09-\x0D]|$)", "<unit>")
+    return F.regexp_replace(text, rf"(?<=<num>[\x20\x09-\x0D]?)(?:{UNITS})(?=[\x20\x09-\x0D]|$)", "<unit>")
 
 
-def windows(df: DataFrame, length: int) -> Column:
-    """Hashes of the windows of a length over _hashes, by start."""
-    n = F.size("_hashes") - length
-    at = F.when(n >= 0, F.sequence(F.lit(1), n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(F.slice("_hashes", i, length)))
+#: The forms of a text whose windows are joined: its plain words, and templates without and with names.
+FORMS = ("_plain", "_nameless", "_template")
+
+
+def windows(length: int) -> Column:
+    """(at, form, window) of the windows of a length: form's number and hash by start.
+
+    A template's windows are made only where they differ from those of the forms before it.
+    """
+    n = F.size("_plain") - length + 1
+    none = F.array().cast("array<int>")
+
+    def differing(form: str, other: str) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.size("_plain")), lambda i: F.element_at(f"{form}_h", i) != F.element_at(f"{other}_h", i))
+        around = F.transform(places, lambda i: F.sequence(F.greatest(F.lit(1), i - (length - 1)), F.least(i, n)))
+        return F.array_distinct(F.flatten(around))
+
+    starts = F.sequence(F.lit(1), n), differing("_nameless", "_plain"), F.array_intersect(differing("_template", "_plain"), differing("_template", "_nameless"))
+
+    def made(number: int, at: Column) -> Column:
+        hashes = f"{FORMS[number]}_h"
+        return F.transform(F.when(n >= 1, at).otherwise(none), lambda i: F.struct((i - 1).alias("at"), F.lit(number).alias("form"), F.xxhash64(F.slice(hashes, i, length)).alias("window")))
+
+    return F.concat(*[made(number, at) for number, at in enumerate(starts)])
 
 
 def templated(df: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumn("_template", words_of(template(body))).withColumn("_hashes", F.transform("_template", lambda w: F.xxhash64(w)))
+    df = df.withColumns({"_plain": words_of(plain(body)), "_nameless": words_of(template(body, False)), "_template": words_of(template(body))})
+    return df.withColumns({f"{form}_h": F.transform(form, lambda w: F.xxhash64(w)) for form in FORMS})
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, _th, item_id, matched, item_windows, coverage, n_slots, reparameterised; one row per pair."""
     items = templated(benchmark.select("item_id", "text").where("text IS NOT NULL"))
-    items = items.withColumn("_plain", words_of(plain(F.col("text")))).withColumn("_length", F.least(F.size("_template"), F.lit(window))).where("_length > 0")
+    items = items.withColumn("_length", F.least(F.size("_template"), F.lit(window))).where("_length > 0")
     lengths = sorted(r[0] for r in items.select("_length").distinct().collect())  # window at most
-    literal = F.filter(F.slice("_template", F.col("_at") + 1, F.col("_length")), lambda w: ~w.isin(*SLOTS))
+
+    def at(form: str, length: int | Column) -> Column:
+        return F.slice(form, F.col("_at") + 1, length)
+
+    def specific(words: Column) -> Column:
+        return 2 * F.size(F.filter(words, lambda w: ~w.isin(*SLOTS))) >= F.size(words)
 
     def item_windows(length: int) -> DataFrame:
-        out = items.where(F.col("_length") == length).select("item_id", "_length", "_template", "_plain", F.posexplode(windows(items, length)).alias("_at", "_window"))
-        out = out.where(2 * F.size(literal) >= F.col("_length"))
-        return out.select(
+        out = items.where(F.col("_length") == length).select("item_id", *FORMS, F.explode(windows(length)).alias("_w"))
+        out = out.select("item_id", *FORMS, F.col("_w.at").alias("_at"), F.col("_w.form").alias("_form"), F.col("_w.window").alias("_window"))
+        own = F.when(F.col("_form") == 0, at("_plain", length)).when(F.col("_form") == 1, at("_nameless", length)).otherwise(at("_template", length))
+        out = out.select(
             F.col("item_id"),
-            F.col("_length").alias("_item_length"),
+            F.lit(length).alias("_item_length"),
+            "_form",
             "_window",
             F.col("_at").alias("_item_at"),
-            F.slice("_template", F.col("_at") + 1, length).alias("_item_template"),
-            F.slice("_plain", F.col("_at") + 1, length).alias("_item_words"),
+            own.alias("_item_template"),
+            at("_plain", length).alias("_item_words"),
+            specific(at("_template", length)).alias("_specific"),
         )
+        return out.where(F.col("_specific") & specific(F.col("_item_template")))
 
     if not lengths:
         lengths = [window]
     known = stored(reduce(DataFrame.union, map(item_windows, lengths)), "item-windows")
-    n_windows = known.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
+    n_windows = known.where("_form = 0").groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
     side = F.broadcast(known) if known.count() <= broadcast_windows else known
     source = templated(docs.select("doc_id", "text").where("text IS NOT NULL")).withColumn("_th", F.xxhash64("text"))
 
     def matched(length: int) -> DataFrame:
-        rows = source.select("doc_id", "_th", "text", "_template", F.posexplode(windows(source, length)).alias("_at", "_window"))
+        rows = source.select("doc_id", "_th", *FORMS, F.explode(windows(length)).alias("_w"))
+        rows = rows.select("doc_id", "_th", *FORMS, F.col("_w.at").alias("_at"), F.col("_w.window").alias("_window"))
         rows = rows.join(side.where(F.col("_item_length") == length), "_window")
-        rows = rows.where(F.slice("_template", F.col("_at") + 1, length) == F.col("_item_template"))
+        rows = rows.where(reduce(Column.__or__, [at(form, length) == F.col("_item_template") for form in FORMS]))
         # the words themselves are needed for matches alone
-        own = F.slice(words_of(plain(F.col("text"))), F.col("_at") + 1, length)
+        own = at("_plain", length)
         slots = F.filter(
             F.transform(F.arrays_zip(F.col("_item_template").alias("t"), F.col("_item_words").alias("i"), own.alias("d")), lambda s: F.struct(s["t"].alias("t"), s["i"].alias("i"), s["d"].alias("d"))),
             lambda s: s["t"].isin(*SLOTS),
         )
-        return rows.select("doc_id", "_th", "item_id", "_item_at", (F.col("_at") - F.col("_item_at")).alias("_offset"), slots.alias("_slots"))
+        return rows.select("doc_id", "_th", "item_id", "_item_at", (F.col("_at") - F.col("_item_at")).alias("_offset"), (own == F.col("_item_words")).alias("_literal"), slots.alias("_slots"))
 
     found = reduce(DataFrame.union, map(matched, lengths))
-    # one document, item and offset: no more rows than the item has windows
-    per = found.groupBy("doc_id", "_th", "item_id", "_offset").agg(F.collect_set("_item_at").alias("_places"), F.array_distinct(F.flatten(F.collect_set("_slots"))).alias("_slots"))
+    # one document, item and offset: no more rows than the item has windows, by form
+    per = found.groupBy("doc_id", "_th", "item_id", "_offset").agg(
+        F.collect_set("_item_at").alias("_places"),
+        F.collect_set(F.when(F.col("_literal"), F.col("_item_at"))).alias("_literal"),
+        F.array_distinct(F.flatten(F.collect_set("_slots"))).alias("_slots"),
+    )
     values = lambda side: F.size(F.array_distinct(F.transform("_slots", lambda s: F.struct(s["t"], s[side]))))
-    per = per.where((values("i") == F.size("_slots")) & (values("d") == F.size("_slots")))
+    # literal windows count whatever the slots of the others
+    consistent = (values("i") == F.size("_slots")) & (values("d") == F.size("_slots"))
+    per = per.select("doc_id", "_th", "item_id", F.when(consistent, F.col("_places")).otherwise(F.col("_literal")).alias("_places"), F.when(consistent, F.col("_slots")).otherwise(F.filter("_slots", lambda s: F.lit(False))).alias("_slots"))
     out = per.groupBy("doc_id", "_th", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("_places")))).cast("long").alias("matched"),
         F.max(F.size("_slots")).cast("long").alias("n_slots"),

@@ -109,6 +109,16 @@ def test_inconsistent_slots_are_no_match(spark):
     assert {r["doc_id"] for r in found.collect()} == {2}
 
 
+def test_literal_copies_match_in_any_case_and_wrapping(spark):
+    item = "How many apples does the farmer Anna Schmidt carry home when each of 12 baskets holds 7 kg of fresh red fruit from the Straße today"
+    rows = [(1, item.upper()), (2, item.title()), (3, item.replace(" ", "\n")), (4, item.replace("12", "40").upper()), (5, item.replace(" Anna", "\nClara"))]
+    docs = spark.createDataFrame([(k, f"so they ask. {t} and so on") for k, t in rows], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    for limit in (0, 10**6):
+        found = {r["doc_id"]: r for r in decontaminate.contaminated(docs, bench, broadcast_windows=limit).collect()}
+        assert set(found) == {1, 2, 3, 4, 5} and all(r["coverage"] == 1.0 for r in found.values())
+
+
 def test_pages(spark, sf_of):
     story = "The river rose through the night and by morning the lower fields were under water as far as the mill road."
     html = f"<html><body><nav><a href='/'>Home</a> <a href='/x'>News</a></nav><article><h1>Flood</h1><p>{story} It&rsquo;s   over.</p><p>{story}</p></article><footer>Copyright</footer><script>var x=1</script></body></html>"
