@@ -4,15 +4,17 @@ Texts become templates: numbers, names (capitalised words inside a sentence) and
 replaced with <num>, <name> and <unit>, other words are case-folded and lose punctuation at their ends.
 Windows of WINDOW words are hashed and joined with those of the benchmark, of the template, of the one
 without names (in capitals or title case names can't be told) and of the plain words, which a literal
-copy always meets whatever its case or line breaks; an item with fewer words is one window. For each document, item and offset the aligned slots are compared: the values must
-correspond one to one (a re-parameterised question replaces a value by the same value everywhere). A
-document is contaminated by an item if consistent matches hold a share of the item's windows.
+copy always meets whatever its case or line breaks; an item with fewer words is one window. For each
+document, item and offset the aligned slots of a run of consecutive windows are compared: a value must
+become the same value everywhere in the run (two may become one). Windows of equal plain words count
+whatever the slots. A document is contaminated by an item if matches hold a share of the item's windows.
 
 The benchmark's windows are counted first: up to BROADCAST_WINDOWS they are broadcast and the documents
 are streamed past them without a shuffle; beyond, the same join is a shuffled one.
 
 Defined cases: null and empty texts match nothing; windows of which less than half the words are literal
-(all but placeholders) are left out as too general; repeated rows and items are judged each by itself;
+are too general for templates and match by their plain words alone, the share is the larger of that of all
+windows and that of the others; repeated rows and items are judged each by itself;
 empty tables give an empty result; other columns are not read.
 """
 
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.llm.common import SPACE, SPACE_RE, stored, table
@@ -111,12 +113,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
             at("_plain", length).alias("_item_words"),
             specific(at("_template", length)).alias("_specific"),
         )
-        return out.where(F.col("_specific") & specific(F.col("_item_template")))
+        return out.where((F.col("_form") == 0) | specific(F.col("_item_template")))
 
     if not lengths:
         lengths = [window]
     known = stored(reduce(DataFrame.union, map(item_windows, lengths)), "item-windows")
-    n_windows = known.where("_form = 0").groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
+    n_windows = known.where("_form = 0").groupBy("item_id").agg(F.count(F.lit(1)).alias("_all"), F.count_if("_specific").alias("_some"))
     side = F.broadcast(known) if known.count() <= broadcast_windows else known
     source = templated(docs.select("doc_id", "text").where("text IS NOT NULL")).withColumn("_th", F.xxhash64("text"))
 
@@ -131,26 +133,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
             F.transform(F.arrays_zip(F.col("_item_template").alias("t"), F.col("_item_words").alias("i"), own.alias("d")), lambda s: F.struct(s["t"].alias("t"), s["i"].alias("i"), s["d"].alias("d"))),
             lambda s: s["t"].isin(*SLOTS),
         )
-        return rows.select("doc_id", "_th", "item_id", "_item_at", (F.col("_at") - F.col("_item_at")).alias("_offset"), (own == F.col("_item_words")).alias("_literal"), slots.alias("_slots"))
+        return rows.select("doc_id", "_th", "item_id", "_item_at", (F.col("_at") - F.col("_item_at")).alias("_offset"), "_specific", (own == F.col("_item_words")).alias("_literal"), slots.alias("_slots"))
 
     found = reduce(DataFrame.union, map(matched, lengths))
-    # one document, item and offset: no more rows than the item has windows, by form
-    per = found.groupBy("doc_id", "_th", "item_id", "_offset").agg(
-        F.collect_set("_item_at").alias("_places"),
-        F.collect_set(F.when(F.col("_literal"), F.col("_item_at"))).alias("_literal"),
-        F.array_distinct(F.flatten(F.collect_set("_slots"))).alias("_slots"),
-    )
-    values = lambda side: F.size(F.array_distinct(F.transform("_slots", lambda s: F.struct(s["t"], s[side]))))
+    offset = ["doc_id", "_th", "item_id", "_offset"]
+    placed = found.groupBy(*offset, "_item_at").agg(F.bool_or("_literal").alias("_literal"), F.first("_specific").alias("_specific"), F.array_distinct(F.flatten(F.collect_set("_slots"))).alias("_slots"))
+    placed = placed.withColumn("_run", F.col("_item_at") - F.row_number().over(Window.partitionBy(*offset).orderBy("_item_at")))
+    # a run has no more rows than the item has windows
+    runs = placed.groupBy(*offset, "_run").agg(F.collect_list(F.struct("_item_at", "_specific", "_literal")).alias("_places"), F.array_distinct(F.flatten(F.collect_list("_slots"))).alias("_slots"))
+    consistent = F.size(F.array_distinct(F.transform("_slots", lambda s: F.struct(s["t"], s["i"])))) == F.size("_slots")
     # literal windows count whatever the slots of the others
-    consistent = (values("i") == F.size("_slots")) & (values("d") == F.size("_slots"))
-    per = per.select("doc_id", "_th", "item_id", F.when(consistent, F.col("_places")).otherwise(F.col("_literal")).alias("_places"), F.when(consistent, F.col("_slots")).otherwise(F.filter("_slots", lambda s: F.lit(False))).alias("_slots"))
+    runs = runs.select(
+        *offset,
+        F.when(consistent, F.col("_places")).otherwise(F.filter("_places", lambda x: x["_literal"])).alias("_places"),
+        F.when(consistent, F.col("_slots")).otherwise(F.filter("_slots", lambda s: F.lit(False))).alias("_slots"),
+    )
+    per = runs.groupBy(*offset).agg(F.flatten(F.collect_list("_places")).alias("_places"), F.array_distinct(F.flatten(F.collect_list("_slots"))).alias("_slots"))
     out = per.groupBy("doc_id", "_th", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("_places")))).cast("long").alias("matched"),
+        F.array_distinct(F.transform(F.flatten(F.collect_list("_places")), lambda x: F.struct(x["_item_at"].alias("at"), x["_specific"].alias("specific")))).alias("_places"),
         F.max(F.size("_slots")).cast("long").alias("n_slots"),
         F.max(F.exists("_slots", lambda s: s["i"] != s["d"])).alias("reparameterised"),
     )
-    out = out.join(n_windows, "item_id").withColumn("coverage", F.col("matched") / F.col("item_windows"))
-    return out.where(F.col("coverage") >= coverage)
+    out = out.join(n_windows, "item_id")
+    # of all windows, or of those that templates can match: whichever share is larger
+    some = F.size(F.filter("_places", lambda x: x["specific"])).cast("long")
+    shares = [F.struct((n / total).alias("coverage"), n.alias("matched"), total.alias("item_windows")) for n, total in ((F.size("_places").cast("long"), F.col("_all")), (some, F.when(F.col("_some") > 0, F.col("_some"))))]
+    out = out.withColumn("_best", F.when((F.col("_some") > 0) & (shares[1] > shares[0]), shares[1]).otherwise(shares[0]))
+    return out.select("doc_id", "_th", "item_id", "_best.matched", "_best.item_windows", "_best.coverage", "n_slots", "reparameterised").where(F.col("coverage") >= coverage)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,18 @@ def test_literal_copies_match_in_any_case_and_wrapping(spark):
         assert set(found) == {1, 2, 3, 4, 5} and all(r["coverage"] == 1.0 for r in found.values())
 
 
+def test_slots_spoil_no_more_than_their_run(spark):
+    twice = "a shop sells 12 pens on every day of the week and the clerk who writes the sales down in a long book says that by the end of a month there are 12 left on the shelf behind the door"
+    two = "each of 12 baskets in the old barn holds exactly 7 apples and the farmer wants to know how many there are"
+    sums = "12 + 7 = 19 and 3 + 4 = 7 so 19 + 7 = 26"
+    rows = [(1, twice.replace("12 left", "15 left")), (2, two.replace("12", "9").replace("7", "9")), (3, sums), (4, twice.replace("12 pens", "31 pens").replace("a long", "one thick").replace("12 left", "40 left"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, twice), (2, two), (3, sums)], "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(docs, bench).collect()}
+    assert set(found) == {(1, 1), (2, 2), (3, 3), (4, 1)}
+    assert found[2, 2]["coverage"] == found[3, 3]["coverage"] == 1.0 and found[1, 1]["matched"] < found[1, 1]["item_windows"]
+
+
 def test_pages(spark, sf_of):
     story = "The river rose through the night and by morning the lower fields were under water as far as the mill road."
     html = f"<html><body><nav><a href='/'>Home</a> <a href='/x'>News</a></nav><article><h1>Flood</h1><p>{story} It&rsquo;s   over.</p><p>{story}</p></article><footer>Copyright</footer><script>var x=1</script></body></html>"
