@@ -29,6 +29,14 @@ RULES: dict[str, str] = {
     "few_distinct_words": "n_words >= 100 AND size(array_distinct(_words)) < 0.1 * n_words",
     "repeated_windows": "2 * n_repeat_words > n_words",
 }
+#: Words of a segment in which distinct words are counted, as their share falls with length in any prose.
+SEGMENT = 1000
+#: The stage's rules. Repeated lines are judged by their characters, distinct words by their mean share of
+#: the segments of the whole text. RULES stay those of the operator's SQL.
+STAGE_RULES: dict[str, str] = RULES | {
+    "duplicate_lines": "n_dup_lines >= 3 AND aggregate(_lines, 0L, (s, l) -> s + length(l)) - aggregate(array_distinct(_lines), 0L, (s, l) -> s + length(l)) > 0.3 * aggregate(_lines, 0L, (s, l) -> s + length(l))",
+    "few_distinct_words": f"n_words >= 100 AND aggregate(sequence(0, cast((n_words - 1) div {SEGMENT} as int)), 0L, (s, k) -> s + size(array_distinct(slice(_words, 1 + {SEGMENT} * k, {SEGMENT})))) < 0.1 * n_words",
+}
 #: Rows of the sample on which the rules are timed; it grows no result and drops no row.
 SAMPLE_ROWS = 1000
 
@@ -145,10 +153,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that no rule rejects, columns unchanged."""
+    """The documents that none of STAGE_RULES rejects, columns unchanged."""
     rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text")  # whatever other columns are called
     # the row number keeps the optimizer from copying the measures' expressions into the filter
-    out = judged(rows).withColumn("_number", F.monotonically_increasing_id())
+    out = judged(rows, STAGE_RULES).withColumn("_number", F.monotonically_increasing_id())
     return out.where((F.col("_number") >= 0) & F.col("kept")).select("_row.*")
 
 

@@ -1,5 +1,6 @@
 import glob
 import os
+import random
 
 import duckdb
 import numpy as np
@@ -40,6 +41,19 @@ def test_rule_stage_keeps_columns(spark, docs, sf_dir):
     assert quality_rules.stage(spark, docs, sf_dir).columns == docs.columns
 
 
+def test_rule_stage_keeps_clean_texts(spark, sf_dir):
+    r = random.Random(3)
+    vocab = ["".join(r.choice("aeioubdklmnrst") for _ in range(6)) for _ in range(1500)]
+    prose = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    clean = [(1, f"{prose(80)}\nread more\nread more"), (2, prose(20_000))]
+    bad = [(3, "\n".join([prose(40)] + ["click here to read the whole of the story"] * 20)), (4, " ".join(r.choice(vocab[:9]) for _ in range(4000)))]
+    docs = spark.createDataFrame(clean + bad, "doc_id bigint, text string")
+    assert sorted(x["doc_id"] for x in quality_rules.stage(spark, docs, sf_dir).collect()) == [1, 2]
+    names = ["duplicate_lines", "few_distinct_words"]
+    rows = quality_rules.prepared(docs).select("doc_id", *[F.expr(quality_rules.STAGE_RULES[n]).alias(n) for n in names]).collect()
+    assert {n: [x["doc_id"] for x in rows if x[n]] for n in names} == {"duplicate_lines": [3], "few_distinct_words": [4]}
+
+
 def test_mixture_meets_targets(spark, sf_dir, docs):
     rows = mixing.op7_mixing(spark, sf_dir).join(docs.select("doc_id", "source").distinct(), "doc_id").collect()
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
