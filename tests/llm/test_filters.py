@@ -100,6 +100,25 @@ def test_licenses(spark):
     assert rows[0][1][by[1]["span_start"] : by[1]["span_end"]] == mit.rstrip(".")
 
 
+def test_whole_licenses_siblings_and_insertions():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    found = lambda text: {m[0]: m for m in license_scan.scan(text, index)}
+    for name, end in (("MIT", "DEALINGS IN THE SOFTWARE"), ("ISC", "PERFORMANCE OF THIS SOFTWARE"), ("BSD-3-Clause", "POSSIBILITY OF SUCH DAMAGE"), ("BSD-2-Clause", "POSSIBILITY OF SUCH DAMAGE")):
+        text = license_scan.TEMPLATES[name]
+        got = found(f"some code {text} more code")
+        assert got[name][3] == 1.0 and f"some code {text}"[got[name][4] : got[name][5]].endswith(end)
+        assert len({"BSD-2-Clause", "BSD-3-Clause"} & set(got)) == name.startswith("BSD")
+        part = text[text.index("THE SOFTWARE IS") if "BSD" not in name else text.index("THIS SOFTWARE IS") :]
+        assert f"{name.split('-')[0]} warranty" in found(part)
+        words = text.split()
+        torn = " ".join(words[: len(words) // 2] + [f"inserted{i}" for i in range(60)] + words[len(words) // 2 :])
+        assert found(torn)[name][3] == 1.0
+    for name in ("LGPL-3.0", "AGPL-3.0", "GPL-3.0", "EPL-2.0"):
+        assert {n for n in found(license_scan.TEMPLATES[name]) if n in {"LGPL-3.0", "AGPL-3.0", "GPL-3.0", "EPL-2.0"}} == {name}
+    two = found(license_scan.TEMPLATES["MIT"] + " and " + license_scan.TEMPLATES["MIT"])
+    assert sum(m[0] == "MIT" for m in license_scan.scan(license_scan.TEMPLATES["MIT"] + " and " + license_scan.TEMPLATES["MIT"], index)) == 2 and two["MIT"][3] == 1.0
+
+
 def test_alignment_is_the_longest_common_subsequence():
     a, b = "a b c d e f g".split(), "x a b q c e f g".split()
     assert license_scan.aligned(a, b, 1)[0] == 6
