@@ -107,31 +107,40 @@ def fuzzy(terms: DataFrame, queries: DataFrame, k: int = 2) -> DataFrame:
     """query, term, distance of terms within the query's budget (Levenshtein, code points).
 
     Whatever is within the budget contains a piece of the query, so pieces are the candidates' join key:
-    by k-grams where pieces are that long, else by a scan of lengths. queries: query, budget.
+    by k-grams where pieces are that long, else by the pieces themselves. Queries no longer than their
+    budget have no such pieces and are joined with the terms on length. queries: query, budget.
     """
     cut = queries.where(F.char_length("query") > F.col("budget")).select("query", "budget", F.explode(pieces(F.col("query"), F.col("budget"))).alias("p"))
     cut = cut.select("query", "budget", F.col("p.piece").alias("pattern"))
     near = occurrences_of_many(terms, cut.select("pattern").distinct(), k).select("pattern", "term").distinct()
     pairs = cut.join(near, "pattern").select("query", "budget", "term").distinct()
     pairs = pairs.where(F.abs(F.char_length("query") - F.char_length("term")) <= F.col("budget"))
+    short = queries.where(F.char_length("query") <= F.col("budget"))
+    short = short.select("query", "budget", F.explode(F.sequence(F.lit(0), F.char_length("query") + F.col("budget"))).alias("_n"))
+    pairs = pairs.union(short.join(terms.select("term").distinct(), F.col("_n") == F.char_length("term")).select("query", "budget", "term").distinct())
     return pairs.withColumn("distance", F.levenshtein("query", "term")).where("distance <= budget").select("query", "term", "distance")
 
 
-def distinct_substrings(terms: DataFrame, longest: int) -> DataFrame:
-    """Every distinct substring of at most longest code points (quadratic in it)."""
+def _size_limit(longest: int | None) -> Column:
+    left = F.char_length("term") - F.col("i") + 1
+    return left if longest is None else F.least(F.lit(longest), left)
+
+
+def distinct_substrings(terms: DataFrame, longest: int | None = None) -> DataFrame:
+    """Every distinct substring (quadratic in the length), or those of at most longest code points."""
     n = F.char_length("term")
     starts = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     rows = terms.select("term", F.explode(starts).alias("i"))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("term") - F.col("i") + 1))
+    sizes = F.sequence(F.lit(1), _size_limit(longest))
     return rows.select("term", "i", F.explode(sizes).alias("m")).select(F.substring("term", F.col("i"), F.col("m")).alias("substring")).distinct()
 
 
-def endpos_classes(terms: DataFrame, longest: int) -> DataFrame:
+def endpos_classes(terms: DataFrame, longest: int | None = None) -> DataFrame:
     """end_set (digest), n_substrings, shortest, longest: substrings that end at the same places."""
     n = F.char_length("term")
     starts = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     rows = terms.select("term", F.explode(starts).alias("i"))
-    rows = rows.select("term", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("term") - F.col("i") + 1))).alias("m"))
+    rows = rows.select("term", "i", F.explode(F.sequence(F.lit(1), _size_limit(longest))).alias("m"))
     rows = rows.select(F.substring("term", F.col("i"), F.col("m")).alias("s"), F.struct("term", (F.col("i") + F.col("m")).alias("end")).alias("e"))
     ends = rows.groupBy("s").agg(F.sha2(F.to_json(F.array_sort(F.collect_set("e"))), 256).alias("end_set"))
     return ends.groupBy("end_set").agg(F.count(F.lit(1)).alias("n_substrings"), F.min(F.char_length("s")).alias("shortest"), F.max(F.char_length("s")).alias("longest"))

@@ -191,7 +191,7 @@ query(
     with_part("SELECT count(DISTINCT substr(term, i, n)) AS n FROM (SELECT term, i, unnest(range(1, least(5, length(term) - i + 1) + 1)) AS n FROM (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM part_terms))"),
     distinct_substrings=lambda s, d: substring.distinct_substrings(part(s, d).df, 5).agg(F.count(F.lit(1)).alias("n")),
 )
-query(None, endpos_classes=lambda s, d: substring.endpos_classes(part(s, d).df, 5))
+query(None, endpos_classes=lambda s, d: substring.endpos_classes(part(s, d).df))
 
 # --- set algebra
 
