@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import xxhash
@@ -22,16 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and every executor see.
+    """A folder that the driver and every executor see: the one that the session names in spark.checkpoint.dir.
 
-    It is the one that the session names in spark.checkpoint.dir; only where none is set (tests on
-    one machine) a temporary folder is made and set.
+    Where none is set, as in tests, a temporary folder is made and set, on a local master only.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
         found = context._jsc.sc().getCheckpointDir()
         if found.isEmpty():
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
             context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='termloom-')}")
             found = context._jsc.sc().getCheckpointDir()
         base = found.get()
@@ -54,19 +56,63 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+#: The open scopes, the innermost last.
+_SCOPES: ContextVar[tuple["Scope", ...]] = ContextVar("scopes", default=())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scope:
+    """Tables stored while it is open are deleted when it closes, but for those that it keeps.
+
+    A kept table passes to the scope around it; without one it stays until release().
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> "Scope":
+        self.token = _SCOPES.set((*_SCOPES.get(), self))
+        return self
+
+    def __exit__(self, *_) -> None:
+        _SCOPES.reset(self.token)
+        self.drop(*[df for df, _ in self.tables])
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for df in tables:
+            for entry in [x for x in self.tables if x[0] is df]:
+                self.tables.remove(entry)
+                delete(self.spark, entry[1])
+
+    def keep(self, *tables: DataFrame) -> None:
+        for df in tables:
+            for entry in [x for x in self.tables if x[0] is df]:
+                self.tables.remove(entry)
+                outer = _SCOPES.get()[: _SCOPES.get().index(self)]
+                if outer:
+                    outer[-1].tables.append(entry)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     with small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _SCOPES.get():
+        _SCOPES.get()[-1].tables.append((out, path))
+    return out
 
 
 def release(spark: SparkSession) -> None:
-    """Delete what stored() has written in the shared folder (call when the results are consumed)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/termloom")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete what stored() has left in the shared folder (call when the results are consumed)."""
+    delete(spark, f"{shared_dir(spark)}/termloom")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,24 +1,26 @@
 """Operator 5, MinHash near-dedup with sequential Bayesian verification.
 
-1. Every text becomes a set of hashed word shingles, of which a signature of minima, the bands of the
-   signature and a digest of the set are kept. Texts with equal sets form one class, and only the
-   class's smallest doc_id (its representative) goes on: copies never meet in pairs.
-2. Representatives that share a band meet in a bucket. LEADERS times, the first member of each bucket that
-   is not in the bucket's largest component is paired with the members behind and before it, which links
-   nearly all there is to link. What is still apart then is compared in blocks: members outside the bucket's
-   largest component, in chunks of CHUNK, meet the chunks of all its members, a row for two chunks; pairs
-   are formed inside the task, in the first band that they share only, and first the likeliest of each
-   document and chunk alone goes on. Buckets of up to SMALL members are joined to pairs at once. Pairs inside a component are left
-   out, as they can't change the result; all others of a bucket are compared.
-3. A pair's signatures are compared batch by batch. With m of n minima equal and a uniform prior the
-   posterior of the similarity is Beta(m + 1, n - m + 1); the pair is dropped once the posterior
-   probability of reaching the threshold is below the chosen miss probability.
-4. Survivors are verified on their full sets; verified links make the components.
-
-Defined cases: a text without words has an empty set, is linked with nothing and its own component; fewer words than a
-shingle make one shingle of the whole sequence; repeated rows are copies of each other; rows without a
-doc_id take the component of their class, or null; an empty table gives an empty result; no other column
-is read.
+1. Every text becomes a set of hashed word shingles, of which the bands of a signature of minima and a
+   digest are kept. Texts with equal sets form one class, collapsed by partial aggregation: copies never
+   meet in pairs, and a class goes on as its first row.
+2. Classes that share a band meet in a bucket. A class's weight is the size of all its buckets together; the
+   original of a group of edited copies has the largest. LEADERS times every class is paired with one class
+   alone, the heaviest leader among its buckets, at first the heaviest member, then the heaviest outside
+   the bucket's largest component. That links nearly all there is to link, with a row a class.
+3. Classes that share a bucket and are still apart are compared in blocks: the members outside the bucket's largest
+   component meet all members, in chunks of about CHUNK_BYTES. A pair is compared in the first band that it
+   shares alone, inside a task, and no pair becomes a row: a block returns the links that join what was
+   apart. Pairs inside a component are left out, as they can't change the result; no other is.
+4. Both compare signatures batch by batch, on the low byte of each minimum. With m of n bytes equal and a
+   uniform prior the posterior of the chance that bytes are equal is Beta(m + 1, n - m + 1); the pair is
+   dropped once the posterior probability of reaching the threshold is below the chosen miss probability.
+   Survivors are verified on their full sets; verified links make the components.
+
+Defined cases: a text without words has an empty set, is linked with nothing and its own component; fewer
+words than a shingle make one shingle of the whole sequence; repeated rows are copies of each other; rows
+without a doc_id link as any others, their component's id is the smallest doc_id in it, or null where
+there is none; rows of one doc_id with several texts are documents of their own; an empty table gives an
+empty result; other columns are not read (stage() carries them).
 """
 
 from __future__ import annotations
@@ -31,25 +33,30 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from termloom.llm.common import encoded, mixed, rolled, stored, table, word_hashes
+from termloom.llm.common import Scope, encoded, mixed, rolled, stored, table, word_hashes
 
 HASHES, BATCH = 256, 32
 MISS = 1e-6
 #: Most that banding may miss of the pairs whose similarity is exactly the threshold.
 BAND_MISS = 3e-4
-LEADERS, CHUNK, SMALL = 2, 256, 32
+LEADERS, CHUNK_BYTES = 2, 1 << 20
+#: Pairs of a block that are compared at once.
+PAIRS = 100_000
+#: Up to so many keys (8 bytes each) a filter on the texts is broadcast before they are shuffled.
+BROADCAST_KEYS = 4_000_000
 _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
 _B = _RANDOM.integers(0, 2**32, HASHES, dtype=np.uint32)
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+def shingle_set(text: str | bytes | None, shingle: int) -> np.ndarray:
     """The sorted distinct hashes of the text's word shingles (A-Z lower-cased)."""
-    words = encoded(text).lower().split()
+    words = (text if isinstance(text, bytes) else encoded(text)).lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     k = min(shingle, len(words))
@@ -80,193 +87,276 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signatures(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, sig and bands; one row per row of docs."""
+def text_key():
+    """Names a text beside its doc_id."""
+    return F.md5(F.col("text").cast("binary")).alias("th")
 
-    band = band_rows(threshold)
+
+def signed(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """rid, doc_id, th, n_shingles, digest of the set and bands; one row per row of docs."""
+    rows = band_rows(threshold)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            out = []
             for text in batch["text"]:
                 s = shingle_set(text, shingle)
-                if len(s):
-                    sig = signature(s)
-                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), sig.tobytes(), band_keys(sig, band)))
-                else:
-                    rows.append((0, None, None, None))
-            out = pd.DataFrame(rows, columns=["n_shingles", "digest", "sig", "bands"])
+                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(signature(s), rows)) if len(s) else (0, None, None))
+            out = pd.DataFrame(out, columns=["n_shingles", "digest", "bands"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
+            out.insert(1, "th", batch["th"].to_numpy(dtype=object))
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>")
+    rows_of = docs.select(F.col("doc_id").cast("long"), text_key(), "text").mapInPandas(sign, "doc_id long, th string, n_shingles long, digest binary, bands array<long>")
+    return rows_of.withColumn("rid", F.monotonically_increasing_id())
+
+
+def packed(docs: DataFrame, members: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """cid, sig (low bytes of the minima), bands (4 bytes each) and z (the text, compressed) of the members.
+
+    members: cid, doc_id, th, digest.
+    """
+    rows = band_rows(threshold)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            out = []
+            for cid, text, digest in zip(batch["cid"], batch["text"], batch["digest"], strict=True):
+                s = shingle_set(text, shingle)
+                if xxhash.xxh3_128_digest(s.tobytes()) == digest:
+                    sig = signature(s)
+                    out.append((cid, sig.astype(np.uint8).tobytes(), band_keys(sig, rows).astype(np.uint32).tobytes(), packer.compress(encoded(text))))
+            yield pd.DataFrame(out, columns=["cid", "sig", "bands", "z"])
+
+    name = F.xxhash64("doc_id", "th")
+    texts = docs.select(F.col("doc_id").cast("long"), text_key(), "text")
+    keys = members.select(name.alias("_k")).distinct()
+    if keys.count() <= BROADCAST_KEYS:
+        texts = texts.join(F.broadcast(keys), name == F.col("_k"), "left_semi")
+    wanted = members.select("cid", "digest", F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("cid", "text", "digest")
+    out = texts.mapInPandas(pack, "cid long, sig binary, bands binary, z binary")
+    # rows equal in doc_id and text come as often as there are such rows
+    return out.groupBy("cid").agg(F.first(F.struct("sig", "bands", "z")).alias("_p")).select("cid", "_p.*")
 
 
 @lru_cache
 def least_matches(n: int, threshold: float, miss: float) -> int:
-    """The fewest equal minima of n that leave the threshold a posterior probability of miss or more."""
+    """The fewest equal bytes of n that leave the threshold a posterior probability of miss or more."""
+    equal = threshold + (1 - threshold) / 256  # the low bytes of different minima may be equal
     total = 0.0
     for m in range(n + 1):
-        total += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
+        total += comb(n + 1, m) * equal**m * (1 - equal) ** (n + 1 - m)
         if total >= miss:
             return m
     return n + 1
 
 
-def undropped(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float, miss: float) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the pairs (left[x], right[y]) that the sequential comparison does not drop, and their equal minima."""
+def undropped(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float, miss: float = MISS) -> np.ndarray:
+    """Numbers of the pairs (left[x], right[y]) that the sequential comparison does not drop."""
     alive, equal = np.arange(len(x)), np.zeros(len(x), np.int64)
     for n in range(BATCH, HASHES + 1, BATCH):
         equal = equal + (left[x[alive], n - BATCH : n] == right[y[alive], n - BATCH : n]).sum(axis=1)
         keep = equal >= least_matches(n, threshold, miss)
         alive, equal = alive[keep], equal[keep]
-    return alive, equal
+    return alive
+
+
+def reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def surviving(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float = MISS) -> DataFrame:
-    """Pairs (a, b) that the sequential comparison of their signatures does not drop."""
+def bytes_of(column, width: int, kind=np.uint8) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(-1, width)
+
+
+def linked(pairs: DataFrame, pack: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that the sequential comparison doesn't drop and the full sets confirm."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        last, theirs = None, None
         for batch in batches:
-            if len(batch):
-                left, right = (np.frombuffer(b"".join(batch[c]), np.uint32).reshape(len(batch), -1) for c in ("_sa", "_sb"))
-                own = np.arange(len(batch))
-                yield batch.iloc[undropped(left, right, own, own, threshold, miss)[0]][["a", "b"]]
-
-    joined = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("_sa")), "a")
-    joined = joined.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("_sb")), "b")
-    return joined.select("a", "b", "_sa", "_sb").mapInPandas(compare, "a long, b long")
+            if not len(batch):
+                continue
+            own, keep = np.arange(len(batch)), []
+            for i in undropped(bytes_of(batch["sa"], HASHES), bytes_of(batch["sb"], HASHES), own, own, percent / 100).tolist():
+                if batch["b"].iat[i] != last:
+                    last, theirs = batch["b"].iat[i], shingle_set(unpack(batch["zb"].iat[i]), shingle)
+                if reaches(shingle_set(unpack(batch["za"].iat[i]), shingle), theirs, percent):
+                    keep.append(i)
+            yield batch.iloc[keep][["a", "b"]]
+
+    def side(name: str) -> DataFrame:
+        return pack.select(F.col("cid").alias(name), F.col("sig").alias(f"s{name}"), F.col("z").alias(f"z{name}"))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "za", "zb").mapInPandas(compare, "a long, b long")
+
+
+def joined(labels: np.ndarray, labels2: np.ndarray, x: np.ndarray, y: np.ndarray, confirm) -> list[int]:
+    """Numbers of confirmed pairs (x, y) that join what was apart; pairs that are joined meanwhile are not asked."""
+    parent = {v: v for v in {*labels.tolist(), *labels2.tolist()}}
+
+    def root(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    out = []
+    for k, (i, j) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        a, b = root(int(labels[i])), root(int(labels2[j]))
+        if a != b and confirm(i, j):
+            parent[a] = b
+            out.append(k)
+    return out
 
 
-def surviving_apart(members: DataFrame, sigs: DataFrame, threshold: float, best: bool, miss: float = MISS) -> DataFrame:
-    """Pairs (a, b) of different labels in a bucket that the sequential comparison does not drop.
+def linked_in_blocks(members: DataFrame, pack: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of a bucket with different labels, enough of them to join all that links join.
 
-    members: key, rank, doc_id, size, label, major (the bucket's largest component). best: only the pair with
-    most equal minima of each document outside the largest component and chunk.
+    members: key, cid, size, label, major (the bucket's largest component).
     """
-    rows, low = band_rows(threshold), threshold - 1e-9
+    threshold = percent / 100
+    rows = band_rows(threshold)
+    n_bands = HASHES // rows
 
-    def unpack(chunk: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        sig = np.frombuffer(b"".join(chunk.field("sig").to_pylist()), np.uint32).reshape(len(chunk), HASHES)
-        return *(chunk.field(c).to_numpy() for c in ("doc_id", "label", "size")), sig
+    def unpacked(block: pa.StructArray) -> list:
+        return [*(block.field(c).to_numpy() for c in ("cid", "label", "size")), bytes_of(block.field("sig").to_pylist(), HASHES), bytes_of(block.field("bands").to_pylist(), n_bands, np.uint32), block.field("z").to_pylist()]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for key, major, xs, ys in zip(batch["key"].to_pylist(), batch["major"].to_pylist(), batch["xs"], batch["ys"], strict=True):
-                (ids, labels, sizes, sig), (ids2, labels2, sizes2, sig2) = unpack(xs.values), unpack(ys.values)
-                apart = labels[:, None] != labels2
-                apart &= (labels2 == major) | (ids[:, None] < ids2)  # both sides outside the largest: once
-                apart &= np.minimum(sizes[:, None], sizes2) >= low * np.maximum(sizes[:, None], sizes2)
-                x, y = np.nonzero(apart)
-                bands, bands2 = band_keys(sig, rows), band_keys(sig2, rows)
-                own = int(np.flatnonzero(bands[0] == key)[0])
-                fresh = ~(bands[x, :own] == bands2[y, :own]).any(axis=1)
-                x, y = x[fresh], y[fresh]
-                keep, equal = undropped(sig, sig2, x, y, threshold, miss)
-                if best:
-                    keep = keep[np.lexsort((-equal, x[keep]))]
-                    keep = keep[np.unique(x[keep], return_index=True)[1]]
-                if len(keep):
-                    yield pa.record_batch({"a": pa.array(ids[x[keep]], pa.int64()), "b": pa.array(ids2[y[keep]], pa.int64())})
-
-    full = members.join(sigs, "doc_id").withColumn("chunk", F.floor(F.col("rank") / CHUNK))
-    gathered = F.collect_list(F.struct("doc_id", "label", "size", "sig"))
-    one = full.where("label != major").groupBy("key", "major", "chunk").agg(gathered.alias("xs")).drop("chunk")
-    other = full.groupBy("key", "chunk").agg(gathered.alias("ys")).drop("chunk")
+                (ids, labels, sizes, sig, bands, z), (ids2, labels2, sizes2, sig2, bands2, z2) = unpacked(xs.values), unpacked(ys.values)
+                own = int(np.flatnonzero(bands[0] == np.int64(key).astype(np.uint32))[0])
+                sets, sets2 = lru_cache(None)(lambda i: shingle_set(unpack(z[i]), shingle)), lru_cache(None)(lambda j: shingle_set(unpack(z2[j]), shingle))  # noqa: B023
+                left, right = [], []
+                for at in np.array_split(np.arange(len(ids)), min(len(ids), len(ids) * len(ids2) // PAIRS + 1)):
+                    apart = labels[at, None] != labels2
+                    apart &= (labels2 == major) | (ids[at, None] < ids2)  # both outside the largest: once
+                    apart &= 100 * np.minimum(sizes[at, None], sizes2) >= percent * np.maximum(sizes[at, None], sizes2)
+                    x, y = np.nonzero(apart)
+                    x = at[x]
+                    fresh = ~(bands[x, :own] == bands2[y, :own]).any(axis=1)
+                    x, y = x[fresh], y[fresh]
+                    keep = undropped(sig, sig2, x, y, threshold)
+                    left.append(x[keep])
+                    right.append(y[keep])
+                x, y = np.concatenate(left), np.concatenate(right)
+                found = joined(labels, labels2, x, y, lambda i, j: reaches(sets(i), sets2(j), percent))  # noqa: B023
+                if found:
+                    yield pa.record_batch({"a": pa.array(ids[x[found]], pa.int64()), "b": pa.array(ids2[y[found]], pa.int64())})
+
+    full = members.join(pack, "cid").withColumn("_bytes", F.lit(HASHES + 4 * n_bands) + F.octet_length("z"))
+    bulk = members.join(pack.select("cid", (F.lit(HASHES + 4 * n_bands) + F.octet_length("z")).alias("_bytes")), "cid").groupBy("key")
+    bulk = stored(bulk.agg(F.sum("_bytes").alias("_all"), F.sum(F.when(F.col("label") != F.col("major"), F.col("_bytes"))).alias("_outside")), "near-bulk")
+    full = full.join(bulk, "key")
+    gathered = F.collect_list(F.struct("cid", "label", "size", "sig", "bands", "z"))
+
+    def chunk(total: str):
+        return F.pmod(F.xxhash64("cid"), F.ceil(F.col(total) / CHUNK_BYTES)).alias("chunk")
+
+    one = full.where("label != major").groupBy("key", "major", chunk("_outside")).agg(gathered.alias("xs")).drop("chunk")
+    other = full.groupBy("key", chunk("_all")).agg(gathered.alias("ys")).drop("chunk")
     return one.join(other, "key").select("key", "major", "xs", "ys").mapInArrow(compare, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
+def components(links: DataFrame) -> DataFrame:
+    """node, label (the least node reachable) for the nodes of links (a, b) but the labels themselves, by large and small stars; stored.
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["_sa"], batch["_sb"], strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = 0
-                if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
-                    at = np.searchsorted(b, a)
-                    common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-                keep.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield batch.loc[np.array(keep, bool), ["a", "b"]]
-
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_sa")), "a")
-    joined = joined.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_sb")), "b")
-    return joined.select("a", "b", "_sa", "_sb").mapInPandas(verify, "a long, b long")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, label (the least node reachable) for the nodes of edges (a, b), by large and small stars."""
-    edges = stored(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    known = None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small, "edges")
-        state = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if state == known:
-            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
-        known = state
+    Each side of a join on a node is a stored table, so that Spark can split a hub's rows.
+    """
+    with Scope(links.sparkSession) as scope:
+        edges = stored(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+        while True:
+            both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
+            large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+            scope.drop(edges, least)
+            least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+            small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+            scope.drop(large, least)
+            ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+            # done when all are stars: a node points to one other at most, and none points to a node that points on
+            if ends.groupBy("n").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty():
+                scope.keep(edges)
+                return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+
+
+def classes_and_rows(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Stored: the rows (rid, doc_id, th, n_shingles, digest), and the classes (digest, cid, label).
+
+    cid is the least rid of a class, label the least cid that links reach.
+    """
+    with Scope(docs.sparkSession) as scope:
+        whole = stored(signed(docs, shingle, percent / 100), "near-signed")
+        first = F.min_by(F.struct("doc_id", "th", F.col("n_shingles").cast("int").alias("size"), "bands"), "rid")
+        classes = whole.where("digest IS NOT NULL").groupBy("digest").agg(F.min("rid").alias("cid"), first.alias("_r")).select("digest", "cid", "_r.*")
+        classes = stored(classes, "near-classes")
+        rows = stored(whole.drop("bands"), "near-rows")
+        scope.drop(whole)
+        exploded = classes.select("cid", "size", F.explode("bands").alias("key"))
+        shared = stored(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-keys")
+        weight = F.sum("n").over(Window.partitionBy("cid"))  # a class has as many rows as bands
+        buckets = stored(exploded.join(shared, "key").select("key", "cid", "size", weight.alias("weight")), "near-buckets")
+        members = classes.join(buckets.select("cid").distinct(), "cid").select("cid", "doc_id", "th", "digest")
+        pack = stored(packed(docs, members, shingle, percent / 100), "near-packed")
+        slim = stored(classes.select("digest", "cid"), "near-classes")
+        scope.drop(shared, classes)
+
+        here = buckets.select("key", "cid", "size", "weight", F.col("cid").alias("label"), F.lit(None).cast("long").alias("major"))
+        links = labels = None
+        for turn in range(LEADERS + 1):
+            if turn < LEADERS:
+                outside = here.where(F.col("major").isNull() | (F.col("label") != F.col("major")))
+                leaders = outside.groupBy("key").agg(F.max_by(F.struct("weight", "cid", "size", "label"), F.struct("weight", -F.col("cid"))).alias("_l"))
+                leaders = stored(leaders, "near-leaders")
+                # sets of sizes too far apart can't reach the threshold
+                near = F.lit(100) * F.least("size", "_l.size") >= percent * F.greatest("size", "_l.size")
+                pairs = here.join(leaders, "key").where((F.col("label") != F.col("_l.label")) & near)
+                pairs = pairs.groupBy(F.col("cid").alias("a")).agg(F.max_by("_l.cid", F.struct("_l.weight", -F.col("_l.cid"))).alias("b"))
+                found = stored(linked(pairs, pack, shingle, percent), "near-links")
+            else:
+                found = stored(linked_in_blocks(here, pack, shingle, percent), "near-links")
+            if not found.isEmpty():
+                links = found if links is None else links.union(found)
+                labels = components(links)
+            if turn == LEADERS:
+                break
+            scope.drop(here)
+            here = buckets if labels is None else buckets.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+            here = here.select("key", "cid", "size", "weight", (F.col("cid") if labels is None else F.coalesce("label", "cid")).alias("label"))
+            own = here.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+            apart = own.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count(F.lit(1)).alias("_labels")).where("_labels > 1")
+            here = stored(here.join(stored(apart.select("key", "major"), "near-apart"), "key"), "near-members")
+            if here.isEmpty():
+                break
+        if labels is not None:
+            slim = stored(slim.join(labels, slim["cid"] == labels["node"], "left").select("digest", "cid", F.coalesce("label", "cid").alias("label")), "near-labelled")
+        else:
+            slim = stored(slim.withColumn("label", F.col("cid")), "near-labelled")
+        scope.keep(rows, slim)
+        return rows, slim
 
 
 def linked_components(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id; one row per row of docs (doc_id, text)."""
-    signed = stored(signatures(docs, shingle, percent / 100), "signatures")
-    classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = stored(signed.join(classes, "digest").where("doc_id = rep").dropDuplicates(["doc_id", "digest"]).select("doc_id", F.col("n_shingles").cast("int").alias("size"), "sig", "bands"), "representatives")
-    exploded = reps.select("doc_id", "size", F.explode("bands").alias("key"))
-    bucket = Window.partitionBy("key")
-    ranked = exploded.withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1")
-    ranked = stored(ranked.withColumn("rank", F.row_number().over(bucket.orderBy("doc_id"))), "buckets")
-    members = ranked.select("doc_id").distinct()
-
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [shingle_set(x, shingle).tobytes() for x in batch["text"]]})
-
-    sets = stored(docs.select("doc_id", "text").join(members, "doc_id", "left_semi").mapInPandas(sets_of, "doc_id long, shingles binary"), "sets")
-    sigs = reps.select("doc_id", "sig")
-    here, links, labels = ranked.withColumn("label", F.col("doc_id")).withColumn("major", F.lit(None).cast("long")), None, None
-    for turn in range(LEADERS + 2):
-        if turn < LEADERS:
-            leader = F.min_by(F.struct("doc_id", "size", "label"), F.when(F.col("major").isNull() | (F.col("label") != F.col("major")), F.col("rank")))
-            leaders = here.groupBy("key").agg(leader.alias("_leader"))
-            a, n = F.col("_leader.doc_id"), F.col("_leader.size")
-            # sets of sizes too far apart can't reach the threshold
-            near = F.lit(100) * F.least("size", n) >= percent * F.greatest("size", n)
-            pairs = here.join(leaders, "key").where((F.col("label") != F.col("_leader.label")) & near).select(F.least(a, "doc_id").alias("a"), F.greatest(a, "doc_id").alias("b"))
-            candidates = surviving(pairs.distinct(), sigs, percent / 100)
-        else:
-            large = here.where(F.col("n") > SMALL)
-            candidates = surviving_apart(large, sigs, percent / 100, turn == LEADERS).distinct()
-        if turn == LEADERS:
-            one, other = (here.where(F.col("n") <= SMALL).select("key", *[F.col(c).alias(f"{c}{i}") for c in ("doc_id", "label", "size")]) for i in (1, 2))
-            near = F.lit(100) * F.least("size1", "size2") >= percent * F.greatest("size1", "size2")
-            pairs = one.join(other, "key").where((F.col("doc_id1") < F.col("doc_id2")) & (F.col("label1") != F.col("label2")) & near)
-            candidates = candidates.union(surviving(pairs.select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).distinct(), sigs, percent / 100))
-        found = stored(verified(candidates, sets, percent), "links")
-        links = found if links is None else links.union(found)
-        if labels is None or not found.isEmpty():
-            labels = components(links)
-        if turn > LEADERS:
-            break
-        if turn == LEADERS:
-            ranked = ranked.where(F.col("n") > SMALL)
-        here = ranked.join(labels, ranked["doc_id"] == labels["node"], "left").select("key", "doc_id", "size", "rank", "n", F.coalesce("label", "doc_id").alias("label"))
-        own = here.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        apart = own.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count(F.lit(1)).alias("_labels")).where("_labels > 1")
-        here = stored(here.join(apart.select("key", "major"), "key"), "members")
-        if here.isEmpty():
-            break
-    out = signed.join(classes, "digest", "left")
-    out = out.join(labels, out["rep"] == labels["node"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    rows, classes = classes_and_rows(docs, shingle, percent)
+    with Scope(docs.sparkSession) as scope:
+        # the smallest doc_id of each class, then of each component
+        own = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("_id"))
+        own = stored(classes.join(own, "digest"), "near-least")
+        least = stored(own.groupBy("label").agg(F.min("_id").alias("component_id")), "near-least")
+        known = stored(own.join(least, "label").select("digest", "component_id"), "near-components")
+        scope.keep(known)
+    out = rows.select("doc_id", "n_shingles", "digest").join(known, "digest", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +365,25 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group, columns unchanged (five words, 0.8)."""
-    found = linked_components(docs, shingle=5, percent=80).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    gone = stored(found, "near-duplicates")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """One document of each group, columns unchanged (five words, 0.8).
+
+    It is the one with the smallest doc_id; rows without one come last, of equal ones the first stays. A row is
+    judged by its own text: other rows of the same doc_id, or of none, keep or lose theirs. Rows without words stay.
+    """
+    with Scope(spark) as scope:
+        rows, classes = classes_and_rows(docs, 5, 80)
+        known = stored(rows.where("digest IS NOT NULL").join(classes.select("digest", "label"), "digest").select("label", "rid", "doc_id", "th"), "near-rows")
+        order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "rid")
+        groups = known.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("doc_id", "th"), order).alias("_best")).where("n > 1")
+        several = known.join(stored(groups, "near-groups"), "label")
+        # named by doc_id and text: rows to go, and rows that stay once although they come again
+        marks = several.groupBy("doc_id", "th").agg(F.first(F.col("doc_id").eqNullSafe(F.col("_best.doc_id")) & (F.col("th") == F.col("_best.th"))).alias("_best"), F.count(F.lit(1)).alias("n"))
+        marks = stored(marks.where("NOT _best OR n > 1").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_best"), "near-marks")
+        scope.keep(marks)
+    named = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), text_key())
+    met = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
+    out = named.join(marks, met, "left_anti").select("_row")
+    if not marks.where("_best").isEmpty():
+        again = named.join(marks.where("_best"), met).groupBy("_doc", "th").agg(F.first("_row").alias("_row"))
+        out = out.union(again.select("_row"))
+    return out.select("_row.*")

@@ -48,3 +48,36 @@ def test_empty_and_clashing(spark, empty_sf, clashing_sf, sf_dir, query):
     assert query(spark, empty_sf).count() == 0
     out = query(spark, clashing_sf)
     assert rows(out, *out.columns) == rows(query(spark, sf_dir), *out.columns)
+
+
+def test_rows_without_id_link_as_any_others(spark, docs):
+    w = [f"word{i}" for i in range(60)]
+    near = [" ".join(w), " ".join([*w[:-2], "x", "y"]), " ".join([*w[:-4], "p", "q", "x", "y"])]
+    df = spark.createDataFrame([(1, near[0]), (None, near[1]), (3, near[2]), (None, "quite another text"), (5, near[0]), (5, "of its own")], "doc_id bigint, text string")
+    out = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in near_dedup.linked_components(df).collect()}
+    assert out == {(1, 58): 1, (None, 58): 1, (3, 58): 1, (None, 1): None, (5, 58): 1, (5, 1): 5}
+
+
+def test_near_stage_judges_rows_by_their_text(spark, sf_dir):
+    a, u, v = (" ".join(f"{c}{i}" for i in range(40)) for c in "auv")
+    rows = [(1, a, 0), (None, a, 0), (None, u, 0), (7, v, 0), (7, v, 1), (1, u, 0), (8, None, 0), (8, "", 0), (8, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _row int")
+    left = sorted(map(tuple, near_dedup.stage(spark, df, sf_dir).select("doc_id", "text").collect()), key=str)
+    assert left == sorted([(1, a), (1, u), (7, v), (8, None), (8, ""), (8, "")], key=str)
+
+
+def test_blocks_find_what_leaders_miss(spark):
+    """Two groups whose members share bands but no leader, and a chain between them."""
+    import random
+
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for i in r.sample(range(300), 9):
+            w[i] = f"n{r.random()}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = near_dedup.linked_components(docs)
+    assert rows(out, "doc_id", "n_shingles", "component_id") == sorted(brute.near(list(enumerate(texts)), 3, 85), key=str)
