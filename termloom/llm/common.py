@@ -124,6 +124,27 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
 
 
+#: Up to so many keys (8 bytes each) a filter on texts is broadcast before they are shuffled to their join.
+BROADCAST_KEYS = 4_000_000
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, names: list[str]) -> DataFrame:
+    """docs joined with wanted on the named columns, null-safe.
+
+    What wanted lacks is filtered out by a broadcast hash of the names, where those are few enough, before
+    the texts are shuffled; the join is exact in any case.
+    """
+    name = F.xxhash64(*names)
+    keys = wanted.select(name.alias("_k")).distinct()
+    if keys.count() <= BROADCAST_KEYS:
+        docs = docs.join(F.broadcast(keys), name == F.col("_k"), "left_semi")
+    other = wanted.withColumnsRenamed({n: f"_w{n}" for n in names})
+    met = F.lit(True)
+    for n in names:
+        met = met & F.col(n).eqNullSafe(F.col(f"_w{n}"))
+    return docs.join(other, met).drop(*[f"_w{n}" for n in names])
+
+
 def words_column(text) -> "F.Column":
     """The words [^\\x20\\x09-\\x0D]+ of a text column as an array (null or blank text: empty)."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from termloom.llm.common import Scope, encoded, mixed, rolled, stored, table, word_hashes
+from termloom.llm.common import Scope, encoded, mixed, rolled, stored, table, texts_of, word_hashes
 
 HASHES, BATCH = 256, 32
 MISS = 1e-6
@@ -47,8 +47,6 @@ BAND_MISS = 3e-4
 LEADERS, CHUNK_BYTES = 2, 1 << 20
 #: Pairs of a block that are compared at once.
 PAIRS = 100_000
-#: Up to so many keys (8 bytes each) a filter on the texts is broadcast before they are shuffled.
-BROADCAST_KEYS = 4_000_000
 _RANDOM = np.random.default_rng(20240229)
 _A = _RANDOM.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
 _B = _RANDOM.integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -129,14 +127,8 @@ def packed(docs: DataFrame, members: DataFrame, shingle: int, threshold: float)
                     out.append((cid, sig.astype(np.uint8).tobytes(), band_keys(sig, rows).astype(np.uint32).tobytes(), packer.compress(encoded(text))))
             yield pd.DataFrame(out, columns=["cid", "sig", "bands", "z"])
 
-    name = F.xxhash64("doc_id", "th")
-    texts = docs.select(F.col("doc_id").cast("long"), text_key(), "text")
-    keys = members.select(name.alias("_k")).distinct()
-    if keys.count() <= BROADCAST_KEYS:
-        texts = texts.join(F.broadcast(keys), name == F.col("_k"), "left_semi")
-    wanted = members.select("cid", "digest", F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("cid", "text", "digest")
-    out = texts.mapInPandas(pack, "cid long, sig binary, bands binary, z binary")
+    texts = texts_of(docs.select(F.col("doc_id").cast("long"), text_key(), "text"), members, ["doc_id", "th"])
+    out = texts.select("cid", "text", "digest").mapInPandas(pack, "cid long, sig binary, bands binary, z binary")
     # rows equal in doc_id and text come as often as there are such rows
     return out.groupBy("cid").agg(F.first(F.struct("sig", "bands", "z")).alias("_p")).select("cid", "_p.*")
 

@@ -29,8 +29,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.anchors import HOT_BIT, candidates, chosen, key, recurring, short, window_anchors
-from termloom.llm.common import encoded, mixed, partitions, stored, table
+from termloom.llm.anchors import HOT_BIT, chosen, key, recurring, short, window_anchors
+from termloom.llm.common import Scope, encoded, mixed, partitions, stored, table, texts_of
 
 WINDOW, GRAM = 50, 20
 UNIT = ["anchor", "rk", "_key", "start", "data"]
@@ -239,7 +239,10 @@ def removed_bytes(docs: DataFrame, copies: DataFrame, window: int = WINDOW, gram
         return np.unique(short(grams[chosen(grams, window_anchors(grams, width), width)]))
 
     hits = recurring(docs, anchors_of, 16, hot_rows).join(copies, "_key", "left")
-    found = candidates(docs, hits, "suffix-candidates", keep=F.expr("digests IS NULL OR NOT array_contains(digests, md5(cast(text as binary)))"))
+    named = docs.select(key().alias("_key"), F.xxhash64("text").alias("_th"), F.md5(F.col("text").cast("binary")).alias("_digest"))
+    found = named.join(hits, "_key").where("digests IS NULL OR NOT array_contains(digests, _digest)").dropDuplicates(["_key", "_th"])
+    found = stored(found.select(F.monotonically_increasing_id().alias("rk"), "_key", "_th", "hits"), "suffix-candidates")
+    texts = docs.select(key().alias("_key"), F.xxhash64("text").alias("_th"), "text")
 
     def pieces(batch: pd.DataFrame, hot: bool) -> list[tuple]:
         """(anchor, rk, _key, start, bytes) of the units whose anchor is hot, or is not."""
@@ -280,7 +283,7 @@ def removed_bytes(docs: DataFrame, copies: DataFrame, window: int = WINDOW, gram
 
     n_units = found.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0]
     tasks = max(partitions(docs.sparkSession), n_units // units_per_task)
-    rows = found.select("rk", "_key", "text", "hits")
+    rows = texts_of(texts, found, ["_key", "_th"]).select("rk", "_key", "text", "hits")
     spans = rows.mapInPandas(dealt, "task long, n long, block binary").groupBy("task").applyInPandas(spans_of, "rk long, first long, last long")
     if hot_rows < 2**62 and not found.where(F.exists("hits", lambda h: h >= HOT_BIT)).isEmpty():
         wide = rows.mapInPandas(hot_units, "rk long, _key long, start int, data binary").select("rk", "_key", "start", F.posexplode(F.expr(f"transform(sequence(1, octet_length(data) - {window - 1}), i -> substring(data, i, {window}))")).alias("at", "bytes"))
@@ -288,6 +291,7 @@ def removed_bytes(docs: DataFrame, copies: DataFrame, window: int = WINDOW, gram
         more = wide.join(least, "bytes").where("_key > least").select("rk", (F.col("start") + F.col("at")).cast("long").alias("first"))
         spans = spans.union(more.select("rk", "first", F.col("first").alias("last")))
     runs = spans.groupBy("rk").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    runs = stored(found.select("rk", "_key", "_th").join(runs, "rk").drop("rk"), "suffix-runs")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -307,23 +311,21 @@ def removed_bytes(docs: DataFrame, copies: DataFrame, window: int = WINDOW, gram
                 rows.append((k, th, len(data) - len(kept), len(joined), hashlib.sha256(kept).hexdigest(), joined))
             yield pd.DataFrame(rows, columns=["_key", "_th", "n_removed", "n_spans", "kept_sha256", "runs"])
 
-    return (
-        found.select("rk", "_key", F.xxhash64("text").alias("_th"), "text")
-        .join(runs, "rk")
-        .select("_key", "_th", "text", "spans")
-        .mapInPandas(cut, "_key long, _th long, n_removed long, n_spans long, kept_sha256 string, runs array<array<long>>")
-    )
+    rows = texts_of(texts, runs, ["_key", "_th"]).select("_key", "_th", "text", "spans")
+    return rows.mapInPandas(cut, "_key long, _th long, n_removed long, n_spans long, kept_sha256 string, runs array<array<long>>")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.coalesce("text", F.lit("")).cast("binary")
     whole = docs.select("doc_id", key().alias("_key"), F.xxhash64("text").alias("_th"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("_whole"), F.md5(text).alias("_digest"))
-    whole = stored(whole, "suffix-whole")
-    first = whole.where(F.col("n_bytes") >= WINDOW).groupBy("_digest").agg(F.min("_key").alias("_first"))
-    whole = whole.join(first, "_digest", "left").withColumn("_copy", F.coalesce(F.col("_key") > F.col("_first"), F.lit(False)))
-    copies = whole.where("_copy").groupBy("_key").agg(F.collect_set("_digest").alias("digests"))
-    cut = removed_bytes(docs, copies).drop("runs").dropDuplicates(["_key", "_th"])
+    with Scope(spark) as scope:
+        whole = stored(whole, "suffix-whole")
+        first = stored(whole.where(F.col("n_bytes") >= WINDOW).groupBy("_digest").agg(F.min("_key").alias("_first")), "suffix-first")
+        whole = stored(whole.join(first, "_digest", "left").withColumn("_copy", F.coalesce(F.col("_key") > F.col("_first"), F.lit(False))), "suffix-whole")
+        copies = whole.where("_copy").groupBy("_key").agg(F.collect_set("_digest").alias("digests"))
+        cut = stored(removed_bytes(docs, copies).drop("runs").dropDuplicates(["_key", "_th"]), "suffix-cut")
+        scope.keep(whole, cut)
     out = whole.join(cut, ["_key", "_th"], "left")
     copy = F.col("_copy")
     return out.select(
