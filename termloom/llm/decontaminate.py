@@ -10,7 +10,8 @@ become the same value everywhere in the run (two may become one). Windows of equ
 whatever the slots. A document is contaminated by an item if matches hold a share of the item's windows.
 
 The benchmark's windows are counted first: up to BROADCAST_WINDOWS they are broadcast and the documents
-are streamed past them without a shuffle; beyond, the same join is a shuffled one.
+are streamed past them without a shuffle, and a table of marks (a byte for each slot of their hashes) drops
+nearly all other windows before they become rows; beyond, the same join is a shuffled one of all windows.
 
 Defined cases: null and empty texts match nothing; windows of which less than half the words are literal
 are too general for templates and match by their plain words alone, the share is the larger of that of all
@@ -32,7 +33,7 @@ WINDOW = 8
 COVERAGE = 0.5
 BROADCAST_WINDOWS = 1_000_000
 UNITS = "mm|cm|m|km|mg|g|kg|t|ml|l|s|ms|min|h|hz|kb|mb|gb|tb|w|kw|v|a|°c|°f|mph|ft|lb|oz|inch|inches|miles?|meters?|metres?|liters?|litres?|grams?|hours?|minutes?|seconds?|days?|weeks?|years?|dollars?|euros?|percent"
-SLOTS = ("<num>", "<name>", "<unit>")
+SLOTS = ("<num>", "<name>", "<unit>", "<num><unit>")
 
 
 def words_of(text: Column) -> Column:
@@ -41,50 +42,110 @@ def words_of(text: Column) -> Column:
 
 
 def plain(text: Column) -> Column:
-    """Case-folded, punctuation at the ends of words removed (a word of nothing else keeps a character)."""
-    text = F.regexp_replace(text, r"""(?<=\S)[.,;:!?)"'\]]+(?=[\x20\x09-\x0D]|$)""", "")
-    text = F.lower(F.regexp_replace(text, r"""(?<=^|[\x20\x09-\x0D])["'(\[]+(?=[^\x20\x09-\x0D])""", ""))
-    return F.replace(F.translate(text, "ς", "σ"), F.lit("ß"), F.lit("ss"))
+    """Case-folded, punctuation at the ends of words removed (a word of nothing else keeps a character).
+
+    The patterns begin with what is rare and look behind it: a look at every character would cost far more.
+    """
+    text = F.regexp_replace(text, r"""[.,;:!?)"'\]](?<=[^\x20\x09-\x0D].)[.,;:!?)"'\]]*(?=[\x20\x09-\x0D]|$)""", "")
+    text = F.lower(F.regexp_replace(text, r"""["'(\[](?<=(?:^|[\x20\x09-\x0D]).)["'(\[]*(?=[^\x20\x09-\x0D])""", ""))
+    return F.replace(F.replace(text, F.lit("ς"), F.lit("σ")), F.lit("ß"), F.lit("ss"))
+
+
+def unnamed(text: Column) -> Column:
+    """The text with <name> for capitalised words inside a sentence, up to 64 white-space characters behind a word of it."""
+    return F.regexp_replace(text, r"\p{Lu}(?<=[^.!?:\x20\x09-\x0D][\x20\x09-\x0D]{1,64}.)[\p{L}'-]*", "<name>")
 
 
-def template(text: Column, names: bool = True) -> Column:
-    """The text with typed placeholders; it has as many words as the text. Without names case plays no part."""
-    if names:
-        text = F.regexp_replace(F.regexp_replace(text, SPACE_RE, " "), r"(?<=[^.!?:\x20][\x20])\p{Lu}[\p{L}'-]*", "<name>")
-    text = F.regexp_replace(plain(text), r"(?<=^|[\x20\x09-\x0D(\[])[$€£+-]?\p{Nd}[\p{Nd}.,:/%-]*", "<num>")
-    return F.regexp_replace(text, rf"(?<=<num>[\x20\x09-\x0D]?)(?:{UNITS})(?=[\x20\x09-\x0D]|$)", "<unit>")
+def unnumbered(text: Column) -> Column:
+    """A plain text with <num> for numbers and <unit> for the units of measure behind them."""
+    begin, rest = r"(?<=(?:^|[\x20\x09-\x0D(\[]).)", r"[\p{Nd}.,:/%-]*"
+    text = F.regexp_replace(text, rf"\p{{Nd}}{begin}{rest}|[$€£+-]{begin}\p{{Nd}}{rest}", "<num>")
+    units = F.regexp_replace(text, rf"<num>([\x20\x09-\x0D]*)(?:{UNITS})(?=[\x20\x09-\x0D]|$)", "<num>$1<unit>")
+    return F.when(F.contains(text, F.lit("<num>")), units).otherwise(text)
 
 
 #: The forms of a text whose windows are joined: its plain words, and templates without and with names.
 FORMS = ("_plain", "_nameless", "_template")
 
 
-def windows(length: int) -> Column:
-    """(at, form, window) of the windows of a length: form's number and hash by start.
+def neighbours(a: str, b: str, shift: int) -> Column:
+    """The hash of a[i] and b[i + shift] for every i that has both."""
+    return F.expr(f"zip_with(slice({a}, 1, greatest(size({b}) - {shift}, 0)), slice({b}, {shift + 1}, greatest(size({b}) - {shift}, 0)), (x, y) -> xxhash64(x, y))")
+
+
+def hashed(df: DataFrame, length: int) -> DataFrame:
+    """df with _plain_w, _nameless_w and _template_w: the hashes of the windows of a length, by doubling."""
+    for form in FORMS:
+        block, span, done = f"{form}_h", 1, 0
+        whole = None
+        while span <= length:
+            if length & span:
+                if whole is None:
+                    whole = block
+                else:
+                    df = df.withColumn(f"{form}_w{done}", neighbours(whole, block, done))
+                    whole = f"{form}_w{done}"
+                done += span
+            span *= 2
+            if span <= length:  # a column of its own, or the step would be computed anew for each use
+                df = df.withColumn(f"{form}_b{span}", neighbours(block, block, span // 2))
+                block = f"{form}_b{span}"
+        df = df.withColumn(f"{form}_w", F.col(whole))
+    return df
 
-    A template's windows are made only where they differ from those of the forms before it.
-    """
-    n = F.size("_plain") - length + 1
-    none = F.array().cast("array<int>")
 
-    def differing(form: str, other: str) -> Column:
-        places = F.filter(F.sequence(F.lit(1), F.size("_plain")), lambda i: F.element_at(f"{form}_h", i) != F.element_at(f"{other}_h", i))
-        around = F.transform(places, lambda i: F.sequence(F.greatest(F.lit(1), i - (length - 1)), F.least(i, n)))
-        return F.array_distinct(F.flatten(around))
+def windows() -> Column:
+    """(at, form, window) of all windows of hashed(), a template's only where they differ from those of the forms before it."""
 
-    starts = F.sequence(F.lit(1), n), differing("_nameless", "_plain"), F.array_intersect(differing("_template", "_plain"), differing("_template", "_nameless"))
+    def made(number: int) -> Column:
+        own = f"{FORMS[number]}_w"
+        rows = F.transform(own, lambda x, i: F.struct(i.alias("at"), F.lit(number).alias("form"), x.alias("window")))
+        return F.filter(rows, lambda r: reduce(Column.__and__, [~r["window"].eqNullSafe(F.get(f"{form}_w", r["at"])) for form in FORMS[:number]], F.lit(True)))
 
-    def made(number: int, at: Column) -> Column:
-        hashes = f"{FORMS[number]}_h"
-        return F.transform(F.when(n >= 1, at).otherwise(none), lambda i: F.struct((i - 1).alias("at"), F.lit(number).alias("form"), F.xxhash64(F.slice(hashes, i, length)).alias("window")))
+    return F.concat(*map(made, range(len(FORMS))))
 
-    return F.concat(*[made(number, at) for number, at in enumerate(starts)])
+
+def sieve(known: DataFrame, n: int) -> bytes:
+    """A byte for each slot of a hash of the n known windows: 1 where one of them falls."""
+    slots = 1 << min(24, max(16, (32 * n).bit_length()))
+    out = bytearray(slots)
+    for r in known.select(F.col("_window").bitwiseAND(F.lit(slots - 1)).alias("s")).distinct().toLocalIterator():
+        out[r["s"]] = 1
+    return bytes(out)
+
+
+def sifted(marks: bytes | None) -> Column:
+    """(at, window) of the windows of hashed() that may be known: those in a marked slot, or all."""
+
+    def made(form: str) -> Column:
+        own = f"{form}_w"
+        if marks is None:
+            return F.transform(own, lambda x, i: F.struct(i.alias("at"), x.alias("window")))
+        met = lambda x: F.substring(F.lit(marks), x.bitwiseAND(F.lit(len(marks) - 1)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+        places = F.array_compact(F.transform(own, lambda x, i: F.when(met(x), i)))
+        return F.transform(places, lambda i: F.struct(i.alias("at"), F.get(own, i).alias("window")))
+
+    return F.array_distinct(F.concat(*map(made, FORMS)))
 
 
 def templated(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with the words of each form, _plain, _nameless and _template, and their hashes (form_h).
+
+    The hashes of a form are left out where it is the same as the one before.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumns({"_plain": words_of(plain(body)), "_nameless": words_of(template(body, False)), "_template": words_of(template(body))})
-    return df.withColumns({f"{form}_h": F.transform(form, lambda w: F.xxhash64(w)) for form in FORMS})
+    df = df.withColumns({"_p": plain(body), "_u": unnamed(body)})
+    df = df.withColumn("_n", unnumbered(F.col("_p")))
+    df = df.withColumns({"_plain": words_of(F.col("_p")), "_numbered": F.col("_n") != F.col("_p"), "_named": F.contains("_u", F.lit("<name>"))})
+    df = df.withColumn("_nameless", F.when(F.col("_numbered"), words_of(F.col("_n"))).otherwise(F.col("_plain")))
+    # a name is a part of one word: the other words are those of the form without names
+    own = F.zip_with(words_of(F.col("_u")), "_nameless", lambda u, w: F.when(F.contains(u, F.lit("<name>")), unnumbered(plain(u))).otherwise(w))
+    df = df.withColumn("_template", F.when(F.col("_named"), own).otherwise(F.col("_nameless")))
+    none = F.array().cast("array<bigint>")
+    hashes = {f"{form}_h": F.transform(form, lambda w: F.xxhash64(w)) for form in FORMS}
+    for form, differs in (("_nameless", "_numbered"), ("_template", "_named")):
+        hashes[f"{form}_h"] = F.when(F.col(differs), hashes[f"{form}_h"]).otherwise(none)
+    return df.withColumns(hashes).drop("_p", "_u", "_n", "_numbered", "_named")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -100,7 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
         return 2 * F.size(F.filter(words, lambda w: ~w.isin(*SLOTS))) >= F.size(words)
 
     def item_windows(length: int) -> DataFrame:
-        out = items.where(F.col("_length") == length).select("item_id", *FORMS, F.explode(windows(length)).alias("_w"))
+        out = hashed(items.where(F.col("_length") == length), length).select("item_id", *FORMS, F.explode(windows()).alias("_w"))
         out = out.select("item_id", *FORMS, F.col("_w.at").alias("_at"), F.col("_w.form").alias("_form"), F.col("_w.window").alias("_window"))
         own = F.when(F.col("_form") == 0, at("_plain", length)).when(F.col("_form") == 1, at("_nameless", length)).otherwise(at("_template", length))
         out = out.select(
@@ -119,11 +180,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
         lengths = [window]
     known = stored(reduce(DataFrame.union, map(item_windows, lengths)), "item-windows")
     n_windows = known.where("_form = 0").groupBy("item_id").agg(F.count(F.lit(1)).alias("_all"), F.count_if("_specific").alias("_some"))
-    side = F.broadcast(known) if known.count() <= broadcast_windows else known
+    n_known = known.count()
+    side = F.broadcast(known) if n_known <= broadcast_windows else known
+    marks = sieve(known, n_known) if n_known <= broadcast_windows else None
     source = templated(docs.select("doc_id", "text").where("text IS NOT NULL")).withColumn("_th", F.xxhash64("text"))
 
     def matched(length: int) -> DataFrame:
-        rows = source.select("doc_id", "_th", *FORMS, F.explode(windows(length)).alias("_w"))
+        rows = hashed(source, length).select("doc_id", "_th", *FORMS, F.explode(sifted(marks)).alias("_w"))
         rows = rows.select("doc_id", "_th", *FORMS, F.col("_w.at").alias("_at"), F.col("_w.window").alias("_window"))
         rows = rows.join(side.where(F.col("_item_length") == length), "_window")
         rows = rows.where(reduce(Column.__or__, [at(form, length) == F.col("_item_template") for form in FORMS]))
