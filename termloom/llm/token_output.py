@@ -5,7 +5,7 @@ A file holds independent zstandard frames, a seek table and a footer:
     frames      each a zstandard frame of the little-endian unsigned 32-bit ids of some documents
     seek table  a zstandard frame of two parts: for each frame (offset, size, documents, tokens) as u64
                 and crc32 of its compressed bytes as u32; then for each document its token count as u64
-    footer      32 bytes: magic, u32 crc32 of the seek table, u64 its size, u64 documents, u64 tokens
+    footer      32 bytes: magic, u32 crc32 of the seek table, u64 its size, u64 documents, four zero bytes
 
 A reader fetches footer and seek table, then only the frames that hold the documents it wants.
 
@@ -18,7 +18,7 @@ Pre-tokens are remembered: a text is cut at single blanks and line feeds between
 where the byte-level pre-tokenizer always cuts, and each distinct piece is encoded once per worker.
 
 Defined cases: a null or empty text is the end id alone; null doc_ids come first; equal doc_ids are
-ordered by text; an empty table gives an empty result; other columns are not read.
+ordered by a hash of their text, then by text; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -103,26 +103,21 @@ class PieceEncoder:
         self.room(self.known)
         new = list(wanted.difference(self.known))
         for piece, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(encoding.ids, "<u4").tobytes()
+            self.known[piece] = struct.pack(f"<{len(encoding)}I", *encoding.ids)
 
-    def learn_after_blank(self, wanted: set[str], together: int = 100) -> None:
-        """Ids of pieces without white space as they are after a blank, encoded many in a row."""
+    def learn_after_blank(self, wanted: set[str]) -> None:
+        """Ids of pieces without white space as they are after a blank."""
         self.room(self.after_blank)
         new = list(wanted.difference(self.after_blank))
-        rows = [new[i : i + together] for i in range(0, len(new), together)]
-        for row, encoding in zip(rows, self.tokenizer.encode_batch(["".join([" " + x for x in row]) for row in rows], add_special_tokens=False), strict=True):
-            ids = np.array(encoding.ids, "<u4")
-            starts = np.cumsum([0, *[len(x) + 1 for x in row]])
-            at = np.searchsorted([end for _, end in encoding.offsets], starts, "right").tolist()
-            for piece, i, j in zip(row, at[:-1], at[1:], strict=True):
-                self.after_blank[piece] = ids[i:j].tobytes()
+        for piece, encoding in zip(new, self.tokenizer.encode_batch_fast([" " + x for x in new], add_special_tokens=False), strict=True):
+            self.after_blank[piece] = struct.pack(f"<{len(encoding)}I", *encoding.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut: list[tuple] = []
         first: set[str] = set()
         rest: set[str] = set()
         for text in texts:
-            if not text or _UNEVEN(text):
+            if uneven(text):
                 parts = self.pieces(text)
                 first.update(parts)
                 cut.append((parts, None))
@@ -141,8 +136,15 @@ class PieceEncoder:
         ]
 
 
-#: Two white-space characters in a row, one at an end, or one that is neither blank nor line feed.
-_UNEVEN = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|[\x1c-\x1f\x85]").search
+#: White space that is neither blank nor line feed.
+_OTHER_SPACE = re.compile(r"[^\S \n]").search
+
+
+def uneven(text: str) -> bool:
+    """Whether a text is empty, has white space at an end, two white-space characters in a row, or other than blank and line feed."""
+    return not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER_SPACE(text) is not None
+
+
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
@@ -267,7 +269,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str | None = None
             store.delete_file(draft)
 
     ranged = docs.select("doc_id", "text").repartitionByRange(files or partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     return stored(ranged.mapInPandas(write, "part int, path string, doc_id long, place long"), "token-manifest")
 
 
