@@ -32,32 +32,45 @@ WINDOW, PHRASE = 35, 16
 BLOCK_BYTES = 4_000_000
 
 
-def located(words: list[bytes], automaton, numbers: dict[bytes, int], phrase: int) -> np.ndarray:
-    """Where the automaton's phrases start."""
-    get = numbers.get
-    ends = {end for end, _ in automaton.iter(tuple([get(w, 0) for w in words]))}
-    return np.array(sorted(ends), np.int64) - (phrase - 1)
-
-
 class Shard:
-    """The automaton of one block's phrases, over numbers given to their words."""
+    """The automaton of one block's phrases, over numbers given to their words.
 
-    def __init__(self) -> None:
-        import ahocorasick
+    A number is written as two letters of disjoint alphabets of about the root of their count: the automaton
+    looks through the children of a node one by one, and its root has as many as there are first letters.
+    """
 
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    def __init__(self) -> None:
         self.numbers: dict[bytes, int] = {}
-        self.ready = False
+        self.phrases: list[list[int]] = []
+        self.automaton = None
 
     def add(self, phrase: bytes) -> None:
         give = self.numbers.setdefault
-        self.automaton.add_word(tuple([give(w, len(self.numbers) + 1) for w in phrase.split(b" ")]), 1)
+        self.phrases.append([give(w, len(self.numbers)) for w in phrase.split(b" ")])
+
+    def compile(self) -> None:
+        import ahocorasick
+
+        root = 1 << (len(self.numbers).bit_length() + 1) // 2
+        high = len(self.numbers) // root + 2
+
+        def letter(n: int) -> str:
+            return chr(n if n < 0xD800 else n + 0x800)  # no surrogates
+
+        names = [letter(1 + n // root) + letter(high + n % root) for n in range(len(self.numbers))]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for phrase in self.phrases:
+            self.automaton.add_word("".join([names[n] for n in phrase]), 1)
+        self.automaton.make_automaton()
+        self.names, self.phrases = {w: names[n] for w, n in self.numbers.items()}, []
 
     def starts(self, words: list[bytes], phrase: int) -> np.ndarray:
-        if not self.ready:
-            self.automaton.make_automaton()
-            self.ready = True
-        return located(words, self.automaton, self.numbers, phrase)
+        """Where the phrases start among the words."""
+        if self.automaton is None:
+            self.compile()
+        get = self.names.get
+        text = "".join([get(w, "\0\0") for w in words])
+        return np.array([end // 2 for end, _ in self.automaton.iter(text)], np.int64) - (phrase - 1)
 
 
 def removed_words(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
