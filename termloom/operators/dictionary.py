@@ -118,25 +118,31 @@ class Dictionary:
         if not lengths:
             return self if how == "left_anti" else self._with(self.df.limit(0))
         size = units.length(F.col("term"), self.unit)
-        heads = F.filter(F.array(*[F.when(size >= n, F.substring("term", 1, n)) for n in lengths]), lambda h: h.isNotNull())
-        hit = self.df.select("term", F.explode(heads).alias("prefix")).join(checked_broadcast(prefixes.select("prefix").distinct()), "prefix", "left_semi").select("term").distinct()
+        heads = F.filter(F.array(*[F.when(size >= n, units.slice_of(F.col("term"), 0, n, self.unit)) for n in lengths]), lambda h: h.isNotNull())
+        own = F.col("prefix").cast("binary") if self.unit == "byte" else F.col("prefix")
+        hit = self.df.select("term", F.explode(heads).alias("prefix")).join(checked_broadcast(prefixes.select(own.alias("prefix")).distinct()), "prefix", "left_semi").select("term").distinct()
         return self._with(self.df.join(hit, "term", how))
 
     def excluding_any(self, prefixes: DataFrame) -> "Dictionary":
         return self.with_any_prefix(prefixes, "left_anti")
 
-    def page_after(self, cursor: str | None, limit: int, prefix: str = "") -> DataFrame:
-        """The next limit terms in byte order after the cursor."""
-        out = self.df.where(F.startswith("term", F.lit(prefix))) if prefix else self.df
+    def key(self, value) -> Column:
+        """A literal of the terms' type: a string, or a list of numbers for the unit u64."""
+        return F.lit(value).cast(self.df.schema["term"].dataType)
+
+    def page_after(self, cursor, limit: int, prefix=None) -> DataFrame:
+        """The next limit terms in byte order (number by number for u64) after the cursor."""
+        out = self.with_prefix(self.key(prefix)).df if prefix else self.df
         if cursor is not None:
-            out = out.where(F.col("term") > cursor)
+            out = out.where(F.col("term") > self.key(cursor))
         return out.orderBy("term").limit(limit)
 
-    def children(self, prefix: str) -> DataFrame:
+    def children(self, prefix) -> DataFrame:
         """label, is_final of the units that can follow the prefix."""
-        n = len(prefix)
-        below = self.df.where(F.startswith("term", F.lit(prefix)) & (F.char_length("term") > n))
-        return below.groupBy(F.substring("term", n + 1, 1).alias("label")).agg(F.bool_or(F.char_length("term") == n + 1).alias("is_final"))
+        n = len(prefix.encode() if self.unit == "byte" and isinstance(prefix, str) else prefix)
+        size = units.length(F.col("term"), self.unit)
+        below = self.with_prefix(self.key(prefix)).df.where(size > n)
+        return below.groupBy(units.slice_of(F.col("term"), n, 1, self.unit).alias("label")).agg(F.bool_or(size == n + 1).alias("is_final"))
 
     # --- mutation (M-01 to M-07, M-13)
 

@@ -50,9 +50,9 @@ def join_sets() -> Column:
 
 
 def meet_sets() -> Column:
-    """Intersection of set values; sorted."""
+    """Intersection of set values; sorted. NULL where there is none."""
     lists = F.collect_list("value")
-    return F.array_sort(F.aggregate(F.slice(lists, 2, F.greatest(F.size(lists), F.lit(1))), F.array_distinct(F.element_at(lists, 1)), F.array_intersect))
+    return F.array_sort(F.aggregate(F.slice(lists, 2, F.greatest(F.size(lists), F.lit(1))), F.array_distinct(F.get(lists, 0)), F.array_intersect))
 
 
 def summed() -> Column:
@@ -65,7 +65,7 @@ def folded(merge: Callable[[Column, Column], Column]) -> Strategy:
     def strategy() -> Column:
         ordered = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("dict_idx", "value"))))
         values = F.transform(ordered, lambda s: s["value"])
-        return F.aggregate(F.slice(values, 2, F.greatest(F.size(values), F.lit(1))), F.element_at(values, 1), merge)
+        return F.aggregate(F.slice(values, 2, F.greatest(F.size(values), F.lit(1))), F.get(values, 0), merge)
 
     return strategy
 

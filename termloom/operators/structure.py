@@ -30,6 +30,12 @@ def dawg_states(terms: DataFrame) -> DataFrame:
     return right.groupBy(F.sha2(F.to_json("s"), 256).alias("state")).agg(F.count(F.lit(1)).alias("n_paths"), F.bool_or(F.array_contains("s", "")).alias("is_final"), F.max(F.size("s")).alias("n_suffixes"))
 
 
+def counts(terms: DataFrame) -> DataFrame:
+    """How many terms, trie nodes (the root included), trie edges, final nodes and the greatest depth."""
+    nodes = trie_nodes(terms).agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if("is_final").alias("n_terms"), F.max("depth").alias("depth"))
+    return nodes.select("n_terms", "n_nodes", (F.col("n_nodes") - 1).alias("n_edges"), "depth")
+
+
 def delta_coded(edges: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """value as differences along order within by (the packed graph form); undo with running sums."""
     from pyspark.sql.window import Window

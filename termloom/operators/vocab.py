@@ -6,15 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from termloom.sources import shared
 
-def numbered(df: DataFrame, order: list, name: str, start: int = 0, buckets: int = 64) -> DataFrame:
+
+def numbered(df: DataFrame, order: list, name: str, start: int = 0, buckets: int | None = None) -> DataFrame:
     """df with dense numbers from start in the given order, without one task that sees all rows.
 
-    Rows are range-partitioned and numbered inside each partition; the partitions' counts (one row each)
-    give the offsets.
+    Rows are range-partitioned (as many ranges as the session has shuffle partitions, unless told) and numbered
+    inside each partition; the partitions' counts (one row each) give the offsets. The ranges are fixed by storing
+    them in the shared folder.
     """
-    ranged = df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.persist()
+    spark = df.sparkSession
+    path = shared.fresh(spark, "ranges")
+    ranged = df.repartitionByRange(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     inside = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
@@ -52,6 +58,11 @@ def term_of(vocab: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.join(vocab, "id", "left")
 
 
+def union_with(vocab: DataFrame, other: DataFrame) -> DataFrame:
+    """vocab with the terms that only other has, under the next ids in the order of other's ids."""
+    return assign(vocab, other.select("term", F.col("id").alias("first_seen")))
+
+
 def bijection_conflicts(pairs: DataFrame) -> DataFrame:
     """Rows of pairs (term, value) that share a term (looked at first) or a value with another row."""
     def twice(column: str) -> DataFrame:

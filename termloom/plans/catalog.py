@@ -106,9 +106,19 @@ def any_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("SELECT p_name AS term, bool_or(p_size > 45) AS any_large, bool_and(p_size > 5) AS all_large FROM part GROUP BY 1", value_any_all=any_all)
 query(with_part("SELECT count(*) AS n_terms FROM part_terms"), dictionary_size=lambda s, d: part(s, d).size())
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> Dictionary:
+    return Dictionary(views.order_seq(spark, sf_dir).select(F.col("seq").alias("term"), F.col("l_orderkey").alias("value")), "u64")
+
+
+query(
+    f"WITH {views.SEQ}, p AS (SELECT DISTINCT list_sort(seq) AS seq FROM order_seq) SELECT l_orderkey FROM order_seq SEMI JOIN p USING (seq)",
+    sequence_lookup=lambda s, d: views.order_seq(s, d).join(views.order_seq(s, d).select(F.array_sort("seq").alias("seq")).distinct(), "seq", "left_semi").select("l_orderkey"),
+)
 query(
-    f"WITH {views.SEQ}, p AS (SELECT seq FROM order_seq WHERE l_orderkey % 7 = 0) SELECT l_orderkey FROM order_seq SEMI JOIN p USING (seq)",
-    sequence_lookup=lambda s, d: views.order_seq(s, d).join(views.order_seq(s, d).where("l_orderkey % 7 = 0").select("seq").distinct(), "seq", "left_semi").select("l_orderkey"),
+    f"WITH {views.SEQ}, p AS (SELECT DISTINCT seq[1] AS head FROM order_seq WHERE len(seq) = 1) SELECT l_orderkey FROM order_seq WHERE seq[1] IN (SELECT head FROM p)",
+    sequence_prefix=lambda s, d: sequences(s, d).with_any_prefix(views.order_seq(s, d).where(F.size("seq") == 1).select(F.col("seq").alias("prefix"))).df.select(F.col("value").alias("l_orderkey")),
 )
 
 
@@ -144,6 +154,32 @@ query(
     with_lang("SELECT term, value FROM lang_dict l WHERE dict_idx = 1 AND NOT EXISTS (SELECT 1 FROM p WHERE starts_with(l.term, p.prefix))", f", {MANY}"),
     prefix_excluding_many=lambda s, d: lang(s, d, "en").excluding_any(rows(s, [(p,) for p in PREFIXES], "prefix string")).df,
 )
+BYTE_PREFIXES = ["f", "d\u00e4", "\u00fc", "\u65e5"]
+WORDS_OF = "w AS MATERIALIZED (SELECT DISTINCT unnest(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+')) AS term FROM documents)"
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.read(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("term")).distinct()
+
+
+query(
+    f"WITH {WORDS_OF} SELECT term FROM w WHERE " + " OR ".join(f"starts_with(term, '{p}')" for p in BYTE_PREFIXES),
+    prefix_many_byte=lambda s, d: Dictionary(words(s, d), "byte").with_any_prefix(rows(s, [(p,) for p in BYTE_PREFIXES], "prefix string")).df,
+)
+query(
+    f"WITH {WORDS_OF} SELECT lower(hex(encode(term)[2:2])) AS label, bool_or(strlen(term) = 2) AS is_final FROM w WHERE starts_with(term, 'f') AND strlen(term) > 1 GROUP BY 1",
+    children_byte=lambda s, d: Dictionary(words(s, d), "byte").children("f").select(F.lower(F.hex("label")).alias("label"), "is_final"),
+)
+
+
+def rarely_valued(spark: SparkSession, sf_dir: str) -> Dictionary:
+    """The English terms; those met once have no value."""
+    return Dictionary(lang(spark, sf_dir, "en").df.select("term", F.when(F.col("value") > 1, F.col("value")).alias("value")))
+
+
+RARE = "(SELECT term, CASE WHEN value > 1 THEN value END AS value FROM lang_dict WHERE dict_idx = 1)"
+query(with_lang(f"SELECT term, value FROM {RARE} WHERE starts_with(term, 're')"), prefix_values_missing=lambda s, d: rarely_valued(s, d).with_prefix("re").df)
+query(with_lang(f"SELECT term, value FROM {RARE} WHERE NOT starts_with(term, 're') AND NOT starts_with(term, 'a')"), excluding_values_missing=lambda s, d: rarely_valued(s, d).excluding("re", "a").df)
 query(with_lang("SELECT term, value FROM lang_dict WHERE dict_idx = 1 AND term > 'm' ORDER BY term LIMIT 50"), cursor_page=lambda s, d: lang(s, d, "en").page_after("m", 50))
 query(with_lang("SELECT substr(term, 3, 1) AS label, bool_or(length(term) = 3) AS is_final FROM lang_dict WHERE dict_idx = 1 AND starts_with(term, 're') AND length(term) > 2 GROUP BY 1"), children_at_prefix=lambda s, d: lang(s, d, "en").children("re"))
 query(with_part("SELECT term, value FROM part_terms WHERE NOT starts_with(term, 'b')"), remove_prefix=lambda s, d: part(s, d).remove_prefix("b").df)
@@ -188,8 +224,8 @@ query(
     fuzzy_candidates=lambda s, d: substring.fuzzy(setops.union(views.lang_dict(s, d)), rows(s, FUZZY, "query string, budget int")),
 )
 query(
-    with_part("SELECT count(DISTINCT substr(term, i, n)) AS n FROM (SELECT term, i, unnest(range(1, least(5, length(term) - i + 1) + 1)) AS n FROM (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM part_terms))"),
-    distinct_substrings=lambda s, d: substring.distinct_substrings(part(s, d).df, 5).agg(F.count(F.lit(1)).alias("n")),
+    with_part("SELECT count(DISTINCT substr(term, i, n)) AS n FROM (SELECT term, i, unnest(range(1, length(term) - i + 2)) AS n FROM (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM part_terms))"),
+    distinct_substrings=lambda s, d: substring.distinct_substrings(part(s, d).df).agg(F.count(F.lit(1)).alias("n")),
 )
 query(None, endpos_classes=lambda s, d: substring.endpos_classes(part(s, d).df))
 
@@ -220,6 +256,25 @@ query(
 )
 query(with_lang("SELECT term FROM lang_dict GROUP BY term HAVING count(*) = 4"), intersect_set=lambda s, d: setops.intersection(views.lang_dict(s, d), 4))
 query(with_lang("SELECT term, min(value) AS value FROM lang_dict GROUP BY term HAVING count(*) = 4"), intersect_all_langs=lambda s, d: setops.intersection_valued(views.lang_dict(s, d), 4))
+
+
+def null_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.lang_dict(spark, sf_dir).select("dict_idx", "term", F.when(F.col("value") > 2, F.array("value")).alias("value"))
+
+
+query(
+    with_lang("SELECT term, CASE WHEN count(CASE WHEN value > 2 THEN 1 END) = 0 THEN NULL WHEN min(CASE WHEN value > 2 THEN value END) = max(CASE WHEN value > 2 THEN value END) THEN [min(CASE WHEN value > 2 THEN value END)] ELSE [] END AS value FROM lang_dict GROUP BY term HAVING count(*) = 4"),
+    intersect_null_values=lambda s, d: setops.intersection_valued(null_sets(s, d), 4, setops.meet_sets),
+)
+FLAGS = "(SELECT dict_idx, term, value > 1 AS value FROM lang_dict)"
+
+
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.lang_dict(spark, sf_dir).select("dict_idx", "term", (F.col("value") > 1).alias("value"))
+
+
+query(with_lang(f"SELECT term, bool_or(value) AS value FROM {FLAGS} GROUP BY term"), union_join_flags=lambda s, d: setops.union_valued(flags(s, d), setops.join_flags))
+query(with_lang(f"SELECT term, bool_and(value) AS value FROM {FLAGS} GROUP BY term"), union_meet_flags=lambda s, d: setops.union_valued(flags(s, d), setops.meet_flags))
 query(with_lang("SELECT term, value FROM lang_dict a WHERE dict_idx = 1 AND NOT EXISTS (SELECT 1 FROM lang_dict b WHERE b.dict_idx = 0 AND a.term = b.term)"), difference_en_de=lambda s, d: setops.difference(lang(s, d, "en").df, lang(s, d, "de").df))
 query(with_lang("SELECT term, max(value) AS value, CAST(min(dict_idx) AS INTEGER) AS source_idx FROM lang_dict GROUP BY term HAVING count(*) = 1"), symdiff_langs=lambda s, d: setops.symmetric_difference(views.lang_dict(s, d)))
 query(with_lang("SELECT term, a.value AS left_value, b.value AS right_value FROM lang_dict a JOIN lang_dict b USING (term) WHERE a.dict_idx = 1 AND b.dict_idx = 3 AND a.value <> b.value"), value_diff_en_fr=lambda s, d: setops.value_diff(lang(s, d, "en").df, lang(s, d, "fr").df))
@@ -280,10 +335,24 @@ query(
     "SELECT * FROM (VALUES ('the', 5::BIGINT, 'identical'), ('the', 9, 'term_has_other_id'), ('new', 6, 'id_taken'), ('low', 2, 'below_start'), ('fine', 20, 'inserted')) t(term, id, outcome)",
     vocab_insert_with_index=lambda s, d: vocab.insert_with_index(rows(s, [("the", 5), ("qqqq", 6)], "term string, id bigint"), rows(s, [("the", 5), ("the", 9), ("new", 6), ("low", 2), ("fine", 20)], "term string, id bigint"), 5),
 )
-PAIRS = "p AS (SELECT p_name AS term, p_partkey % 50 AS value FROM part WHERE p_size > 30)"
+VOCAB_OF = f"WITH {views.TOKENS}, f AS (SELECT term, min((doc_id, ord)) AS seen FROM doc_tokens WHERE lang = 'en' GROUP BY term), v AS MATERIALIZED (SELECT term, row_number() OVER (ORDER BY seen, term) - 1 AS id FROM f)"
+
+
+def english_vocab(spark: SparkSession, sf_dir: str, name: str = "en") -> DataFrame:
+    return vocab.assign(None, views.doc_tokens(spark, sf_dir).where(F.col("lang") == name).select("term", F.struct("doc_id", "ord").alias("first_seen")))
+
+
+query(VOCAB_OF + f", {PROBE} SELECT term, id FROM probes LEFT JOIN v USING (term)", vocab_index_of=lambda s, d: vocab.index_of(english_vocab(s, d), probes(s, d)))
+query(VOCAB_OF + ", i AS (SELECT DISTINCT CAST(p_size AS BIGINT) * 37 AS id FROM part) SELECT id, term FROM i LEFT JOIN v USING (id)", vocab_term_of=lambda s, d: vocab.term_of(english_vocab(s, d), views.read(s, d, "part").select((F.col("p_size").cast("long") * 37).alias("id")).distinct()))
+query(
+    VOCAB_OF + """, g AS (SELECT term, min((doc_id, ord)) AS seen FROM doc_tokens WHERE lang = 'de' GROUP BY term),
+    n AS (SELECT term, row_number() OVER (ORDER BY seen, term) - 1 + (SELECT count(*) FROM v) AS id FROM g WHERE term NOT IN (SELECT term FROM v)) SELECT * FROM v UNION ALL SELECT * FROM n""",
+    vocab_union=lambda s, d: vocab.union_with(english_vocab(s, d), english_vocab(s, d, "de")),
+)
+PAIRS = "p AS (SELECT p_name AS term, p_partkey % 50 AS value FROM part)"
 query(
     f"WITH {PAIRS} SELECT term, value, CASE WHEN t > 1 THEN 'duplicate_term' ELSE 'duplicate_value' END AS error FROM (SELECT *, count(*) OVER (PARTITION BY term) AS t, count(*) OVER (PARTITION BY value) AS v FROM p) WHERE t > 1 OR v > 1",
-    bijection_check=lambda s, d: vocab.bijection_conflicts(views.read(s, d, "part").where("p_size > 30").select(F.col("p_name").alias("term"), (F.col("p_partkey") % 50).alias("value"))),
+    bijection_check=lambda s, d: vocab.bijection_conflicts(views.read(s, d, "part").select(F.col("p_name").alias("term"), (F.col("p_partkey") % 50).alias("value"))),
 )
 query(with_part("SELECT value, term FROM part_terms"), bijection_inverse=lambda s, d: vocab.inverse(part(s, d).df))
 
@@ -297,6 +366,11 @@ query(
     dawg_states=lambda s, d: structure.dawg_states(part(s, d).df).drop("state"),
 )
 
+query(
+    with_lang("SELECT (SELECT count(DISTINCT term) FROM lang_dict) AS n_terms, count(DISTINCT path) AS n_nodes, count(DISTINCT path) - 1 AS n_edges, CAST(max(length(path)) AS INTEGER) AS depth FROM (SELECT substr(term, 1, i) AS path FROM (SELECT term, unnest(range(0, length(term) + 1)) AS i FROM lang_dict))"),
+    node_counts=lambda s, d: structure.counts(setops.union(views.lang_dict(s, d))),
+)
+
 # --- the operation log
 
 
@@ -320,7 +394,16 @@ OVERLAY, OWNED = reconciled("lsn % 10 <> 0"), reconciled("true", "CASE WHEN lsn
 query(OVERLAY, oplog_reconcile=lambda s, d: oplog.reconcile(ranked_ops(s, d)))
 query(OWNED, oplog_reconcile_owned=lambda s, d: oplog.reconcile(ranked_ops(s, d, False)))
 query(reconciled("lsn % 10 <> 0 AND lsn > 500"), oplog_after_checkpoint=lambda s, d: oplog.reconcile(ranked_ops(s, d, True, 500)))
-query(f"WITH {views.OPS} SELECT lsn, op, term, value, CAST(delta AS BIGINT) AS delta FROM ops WHERE lsn < 800", oplog_durable_prefix=lambda s, d: oplog.operations(oplog.durable_prefix(views.event_log(s, d), F.col("lsn") == 800)).drop("n"))
+
+
+def durable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log before a bad record, the one at four fifths of it."""
+    log = views.event_log(spark, sf_dir)
+    bad = log.agg(F.max("lsn")).first()[0] * 4 // 5
+    return oplog.operations(oplog.durable_prefix(log, F.col("lsn") == bad)).drop("n")
+
+
+query(f"WITH {views.OPS} SELECT lsn, op, term, value, CAST(delta AS BIGINT) AS delta FROM ops WHERE lsn < (SELECT max(event_id) * 4 // 5 FROM events)", oplog_durable_prefix=durable)
 query(
     "WITH c AS (SELECT event_id AS lsn FROM events WHERE event_id NOT IN (700, 900)), s AS (SELECT min(event_id) AS low FROM events) SELECT CAST(max(CASE WHEN lsn - low + 1 = n THEN lsn END) AS BIGINT) AS watermark FROM (SELECT lsn, row_number() OVER (ORDER BY lsn) AS n FROM c), s",
     committed_watermark=lambda s, d: oplog.committed_watermark(views.read(s, d, "events").select(F.col("event_id").alias("lsn")).where("lsn NOT IN (700, 900)"), views.read(s, d, "events").agg(F.min("event_id")).first()[0]),

@@ -25,9 +25,8 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("term != ''")
 
 
-TOKENS = """doc_tokens AS (SELECT doc_id, lang, ord - 1 AS ord, words[ord] AS term FROM (
-  SELECT doc_id, lang, words, unnest(range(1, len(words) + 1)) AS ord FROM (
-    SELECT doc_id, lang, regexp_split_to_array(lower(text), '[^a-z]+') AS words FROM documents)) WHERE words[ord] <> '')"""
+TOKENS = """doc_tokens AS MATERIALIZED (SELECT * FROM (SELECT doc_id, lang, unnest(range(len(words))) AS ord, unnest(words) AS term FROM (
+    SELECT doc_id, lang, regexp_split_to_array(lower(text), '[^a-z]+') AS words FROM documents)) WHERE term <> '')"""
 
 
 def lang_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +35,7 @@ def lang_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_tokens(spark, sf_dir).where(F.col("lang").isin(*LANGS)).groupBy(index.alias("dict_idx"), "term").agg(F.count(F.lit(1)).alias("value"))
 
 
-LANG = f"{TOKENS}, lang_dict AS (SELECT list_position(['de','en','es','fr'], lang) - 1 AS dict_idx, term, count(*) AS value FROM doc_tokens WHERE lang IN ('de','en','es','fr') GROUP BY ALL)"
+LANG = f"{TOKENS}, lang_dict AS MATERIALIZED (SELECT list_position(['de','en','es','fr'], lang) - 1 AS dict_idx, term, count(*) AS value FROM doc_tokens WHERE lang IN ('de','en','es','fr') GROUP BY ALL)"
 
 
 def order_seq(spark: SparkSession, sf_dir: str) -> DataFrame:

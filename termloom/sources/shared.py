@@ -9,11 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (one machine, tests) a temporary folder is made and set."""
+    """spark.checkpoint.dir; only where it is unset, on a local master, a temporary folder is made and set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
             context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='termloom-')}")
         base = context._jsc.sc().getCheckpointDir().get()
     return base.rstrip("/")
@@ -40,14 +42,14 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def write_small(spark: SparkSession, path: str, text: str) -> None:
-    """A small file that appears as a whole: written under another name, then renamed."""
+    """A new small file that appears as a whole: written under another name, then renamed."""
     fs, p = _fs(spark, path)
     part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
     if fs.exists(p):
-        fs.delete(p, False)
+        raise FileExistsError(path)
     if not fs.rename(part, p):
         raise OSError(f"could not rename to {path}")
 

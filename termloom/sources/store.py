@@ -1,8 +1,9 @@
 """A durable dictionary: versioned Parquet snapshots, log segments and a manifest that is written last.
 
-A version is never changed: writes go to a new folder, and the manifest (one small JSON file, replaced by a
-rename) names the current one with the log position and stream batch that it includes. A writer that dies
-leaves a folder that no manifest names; open_with_recovery() removes it and replays the log.
+A version is never changed: writes go to a new folder, and the manifest (a small JSON file) names the current one
+with the log position and stream batch that it includes. Manifests are numbered, the one with the greatest number
+holds, and the one before it goes only when the next is there. A writer that dies leaves a folder that no manifest
+names; open_with_recovery() removes it and replays the log. Without any manifest nothing is removed.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ class Store:
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, overlay: bool = False, schema: str = "term string, value bigint") -> "Store":
-        if shared.read_small(spark, f"{path}/manifest.json") is not None:
+        if cls._manifests(spark, path):
             raise FileExistsError(path)
         store = cls(spark, path, Manifest(overlay=overlay), schema)
         store._write_manifest()
@@ -45,23 +46,26 @@ class Store:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, schema: str = "term string, value bigint") -> "Store":
-        text = shared.read_small(spark, f"{path}/manifest.json")
-        if text is None:
+        found = cls._manifests(spark, path)
+        if not found:
             raise FileNotFoundError(path)
-        return cls(spark, path, Manifest(**json.loads(text)), schema)
+        return cls(spark, path, Manifest(**json.loads(shared.read_small(spark, f"{path}/{found[-1]}"))), schema)
 
     @classmethod
-    def open_with_recovery(cls, spark: SparkSession, path: str, bad=None, schema: str = "term string, value bigint") -> tuple["Store", dict]:
+    def open_with_recovery(cls, spark: SparkSession, path: str, bad=None, overlay: bool = False, schema: str = "term string, value bigint") -> tuple["Store", dict]:
         """(store, report). mode: created, normal, repaired (a stray version went) or rebuilt (from the log alone).
 
+        A folder with versions but no manifest is not touched: FileNotFoundError. overlay is that of a new store.
+
         bad: a condition on log records that marks a corrupt one; the log is trusted before the first.
         """
-        text = shared.read_small(spark, f"{path}/manifest.json")
         versions = [n for n in shared.names(spark, path) if n.startswith("v=")]
-        if text is None:
-            store = cls.create(spark, path, schema=schema)
+        if not cls._manifests(spark, path):
+            if versions:
+                raise FileNotFoundError(f"{path} has versions but no manifest")
+            store = cls.create(spark, path, overlay, schema)
             mode = "rebuilt" if store.log() is not None else "created"
-            stray = versions
+            stray = []
         else:
             store = cls.open(spark, path, schema)
             stray = [v for v in versions if int(v[2:]) not in {store.manifest.version, *store.manifest.retained}]
@@ -72,8 +76,16 @@ class Store:
         store.checkpoint(bad)
         return store, {"mode": mode, "stray_versions": len(stray), "from_lsn": before, "to_lsn": store.manifest.checkpoint_lsn}
 
+    @staticmethod
+    def _manifests(spark: SparkSession, path: str) -> list[str]:
+        return [n for n in shared.names(spark, path) if n.startswith("manifest-") and n.endswith(".json")]
+
     def _write_manifest(self) -> None:
-        shared.write_small(self.spark, f"{self.path}/manifest.json", json.dumps(asdict(self.manifest)))
+        old = self._manifests(self.spark, self.path)
+        number = int(old[-1][9:-5]) + 1 if old else 1
+        shared.write_small(self.spark, f"{self.path}/manifest-{number:012d}.json", json.dumps(asdict(self.manifest)))
+        for name in old:
+            shared.delete(self.spark, f"{self.path}/{name}")
 
     # --- reading
 
