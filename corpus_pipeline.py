@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from termloom.llm import decontaminate, mixing, near_dedup, quality_rules, token_output
-from termloom.llm.common import stored, table
+from termloom.llm.common import Scope, stored, table
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
@@ -24,8 +24,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; what a stage keeps is written as Parquet and read by the next."""
+    """All stages in order; what a stage keeps is written as Parquet, read by the next and deleted behind it."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scope(spark) as whole:
+        for name, stage in STAGES[:-1]:
+            with Scope(spark) as own:
+                kept = stored(stage(spark, docs, sf_dir), name)
+                own.keep(kept)
+            whole.drop(docs)
+            docs = kept
+        out = STAGES[-1][1](spark, docs, sf_dir)
+        # the result is read from what the last stage has stored
+        whole.keep(*[df for df, _ in whole.tables if df is not docs])
+    return out

@@ -1,43 +1,48 @@
 """Operator 10, quality rules: a short-circuit cascade in SQL functions only.
 
 Base measures of a text are exact (see measures()). The further rules each name a reason to reject a
-document. estimated_order() times every rule and counts what it rejects on a sample, and the cascade
-asks the rules in the order of rejections per cost: a CASE expression stops at the first that rejects.
-The order changes only the time: a document is rejected if any rule rejects it.
+document. estimated_order() estimates on a sample what each rule costs and rejects, and the cascade asks the
+rules in the order of rejections per cost: a CASE expression stops at the first that rejects. Both are
+estimated on the rows that reach a rule: those that pass the base and the rules asked before. A rule's cost
+is counted, not timed: the values that it looks at (WORK), summed over those rows; so the order is the same
+on every run over the same rows. The order changes only the time: a document is rejected if any rule rejects it.
 
 Defined cases: a null, empty or blank text has no words and fails the base; ties and repeated rows are
-judged row by row; an empty table gives an empty result; of other columns nothing is read.
+judged row by row; very long texts are judged whole; an empty table gives an empty result; of other columns
+nothing is read (stage() carries them).
 """
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm.common import SPACE, table, words_column
 
 MIN_WORDS = 50
-#: Rules by name: SQL over the columns of prepared(); true rejects. Shares are of the words or lines.
+#: Words of a segment in which distinct words are counted, as their share falls with length in any prose.
+SEGMENT = 1000
+_LINES = "aggregate({0}, 0L, (s, l) -> s + length(l))"
+#: Rules by name: SQL over the columns of prepared(); true rejects. Shares are of the words, repeated lines are
+#: judged by their characters and distinct words by their mean share of the segments of the whole text.
 RULES: dict[str, str] = {
     "symbols": "n_symbols > 0.1 * n_words",
     "word_length": "word_chars < 2.5 * n_words OR word_chars > 12 * n_words",
-    "duplicate_lines": "n_dup_lines > 0.3 * n_lines",
+    "duplicate_lines": f"n_dup_lines >= 3 AND {_LINES.format('_lines')} - {_LINES.format('array_distinct(_lines)')} > 0.3 * {_LINES.format('_lines')}",
     "no_letters": "size(filter(_words, w -> w RLIKE '\\\\p{L}')) < 0.7 * n_words",
     "shouting": "size(filter(_words, w -> w = upper(w) AND w != lower(w))) > 0.5 * n_words",
-    "few_distinct_words": "n_words >= 100 AND size(array_distinct(_words)) < 0.1 * n_words",
-    "repeated_windows": "2 * n_repeat_words > n_words",
-}
-#: Words of a segment in which distinct words are counted, as their share falls with length in any prose.
-SEGMENT = 1000
-#: The stage's rules. Repeated lines are judged by their characters, distinct words by their mean share of
-#: the segments of the whole text. RULES stay those of the operator's SQL.
-STAGE_RULES: dict[str, str] = RULES | {
-    "duplicate_lines": "n_dup_lines >= 3 AND aggregate(_lines, 0L, (s, l) -> s + length(l)) - aggregate(array_distinct(_lines), 0L, (s, l) -> s + length(l)) > 0.3 * aggregate(_lines, 0L, (s, l) -> s + length(l))",
     "few_distinct_words": f"n_words >= 100 AND aggregate(sequence(0, cast((n_words - 1) div {SEGMENT} as int)), 0L, (s, k) -> s + size(array_distinct(slice(_words, 1 + {SEGMENT} * k, {SEGMENT})))) < 0.1 * n_words",
 }
-#: Rows of the sample on which the rules are timed; it grows no result and drops no row.
+#: The stage asks the same rules.
+STAGE_RULES = RULES
+#: The values that a rule looks at in a row: SQL over the same columns; 1 for comparisons of measures.
+WORK: dict[str, str] = {
+    "duplicate_lines": "CASE WHEN n_dup_lines >= 3 THEN 1 + 4 * n_lines ELSE 1 END",
+    "no_letters": "1 + 2 * n_words",
+    "shouting": "1 + 3 * n_words",
+    "few_distinct_words": "CASE WHEN n_words >= 100 THEN 1 + 2 * n_words ELSE 1 END",
+}
+#: Rows of the sample on which cost and selectivity are estimated; it grows no result and drops no row.
 SAMPLE_ROWS = 1000
 
 
@@ -102,32 +107,37 @@ def base_failed() -> Column:
 
 
 def estimated_order(docs: DataFrame, rules: dict[str, str], sample_rows: int = SAMPLE_ROWS) -> list[dict]:
-    """Rules by rejections per cost, best first, as measured on a sample of about sample_rows rows.
+    """Rules by rejections per cost, best first, as counted on a sample of about sample_rows rows.
 
-    Returns dicts with name, rejected (share of the sample) and cost (seconds beyond those of an empty
-    pass). Of a rule that rejects nothing the cost alone decides.
+    Returns dicts with name, reached (rows that ask the rule), rejected (of those) and cost (values looked at
+    in a row, on average). Of rules that reject nothing more the cheapest comes first, then the first by name.
     """
     total = docs.count()
     share = min(1.0, sample_rows / total) if total else 1.0
-    sample = prepared(docs.select("doc_id", "text").sample(fraction=share, seed=7)).persist()
+    # chosen by content, so that it doesn't depend on how rows are dealt out
+    sample = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    tests = [F.coalesce(F.expr(test), F.lit(False)).alias(f"r{i}") for i, test in enumerate(rules.values())]
+    costs = [F.expr(WORK.get(name, "1")).cast("double").alias(f"c{i}") for i, name in enumerate(rules)]
+    # a row for each pattern of rejecting rules, 2 ** rules at most
+    rows = prepared(sample).select(base_failed().alias("base"), *tests, *costs).persist()  # or the optimizer would copy the measures into the filter
     try:
-        rows = sample.count()
-
-        def timed(test: str) -> tuple[int, float]:
-            query = sample.select(F.expr(f"CASE WHEN {test} THEN 1 ELSE 0 END").alias("r")).agg(F.coalesce(F.sum("r"), F.lit(0)))
-            query.first()
-            began = time.perf_counter()
-            found = query.first()[0]
-            return found, time.perf_counter() - began
-
-        idle = timed("doc_id IS NULL AND doc_id IS NOT NULL")[1]
-        found = []
-        for name, test in rules.items():
-            rejected, seconds = timed(test)
-            found.append({"name": name, "rejected": rejected / max(rows, 1), "cost": max(seconds - idle, 1e-4)})
+        patterns = rows.where("NOT base").groupBy(*[f"r{i}" for i in range(len(rules))])
+        patterns = patterns.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(rules))]).collect()
     finally:
-        sample.unpersist()
-    return sorted(found, key=lambda r: (-r["rejected"] / r["cost"], r["cost"]))
+        rows.unpersist()
+    names, out = list(rules), []
+    while names:
+        n = sum(p["n"] for p in patterns)
+        found = []
+        for name in names:
+            i = list(rules).index(name)
+            rejected = sum(p["n"] for p in patterns if p[f"r{i}"])
+            found.append({"name": name, "reached": n, "rejected": rejected / max(n, 1), "cost": sum(p[f"c{i}"] for p in patterns) / n if n else 1.0})
+        best = min(found, key=lambda r: (-r["rejected"] / r["cost"], r["cost"], r["name"]))
+        out.append(best)
+        names.remove(best["name"])
+        patterns = [p for p in patterns if not p[f"r{list(rules).index(best['name'])}"]]
+    return out
 
 
 def cascade(order: list[str], rules: dict[str, str]) -> Column:
@@ -153,10 +163,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that none of STAGE_RULES rejects, columns unchanged."""
+    """The documents that neither the base nor a rule rejects, columns unchanged."""
     rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text")  # whatever other columns are called
     # the row number keeps the optimizer from copying the measures' expressions into the filter
-    out = judged(rows, STAGE_RULES).withColumn("_number", F.monotonically_increasing_id())
+    out = judged(rows).withColumn("_number", F.monotonically_increasing_id())
     return out.where((F.col("_number") >= 0) & F.col("kept")).select("_row.*")
 
 
@@ -168,7 +178,8 @@ t AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g
       FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
 r AS (SELECT rid, i FROM t QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
 c AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY rid),
-m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, words, CAST(len(lines) AS BIGINT) AS n_lines,
+m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, words, 
+        list_sum(list_transform(lines, lambda l: length(l))) AS line_chars, list_sum(list_transform(list_distinct(lines), lambda l: length(l))) AS distinct_chars,
         CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
@@ -177,10 +188,9 @@ m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, words, CAST(len(line
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR n_symbols > 0.1 * n_words OR word_chars < 2.5 * n_words OR word_chars > 12 * n_words
-    OR n_dup_lines > 0.3 * n_lines
+    OR (n_dup_lines >= 3 AND line_chars - distinct_chars > 0.3 * line_chars)
     OR len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) < 0.7 * n_words
     OR len(list_filter(words, lambda x: x = upper(x) AND x != lower(x))) > 0.5 * n_words
-    OR (n_words >= 100 AND len(list_distinct(words)) < 0.1 * n_words)
-    OR 2 * n_repeat_words > n_words) AS kept
+    OR (n_words >= 100 AND list_sum(list_transform(range((n_words - 1) // 1000 + 1), lambda k: len(list_distinct(words[1000 * k + 1:1000 * (k + 1)])))) < 0.1 * n_words)) AS kept
 FROM b
 """

@@ -182,3 +182,14 @@ def test_registered(spark):
     names = set(__spark_entry__.queries())
     assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)}
     assert "pipeline" in names and glob.glob(f"{SF}/*.parquet")
+
+
+def test_cascade_order_is_the_same_again_and_short_circuits(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    a, b = (quality_rules.estimated_order(d, quality_rules.RULES) for d in (df, df.repartition(7)))
+    assert a == b and {r["name"] for r in a} == set(quality_rules.RULES)
+    assert [r["reached"] for r in a] == sorted((r["reached"] for r in a), reverse=True)
+    assert a[0]["rejected"] > 0 and all(x["reached"] - round(x["rejected"] * x["reached"]) == y["reached"] for x, y in zip(a, a[1:], strict=False))
+    ask = {"first": "n_words > 0", "never": "cast(raise_error('asked') as boolean)"}
+    out = quality_rules.judged(df.where("text IS NOT NULL"), ask, ["first", "never"])
+    assert {r[0] for r in out.select("rejected_by").distinct().collect()} <= {"base", "first"}
