@@ -293,7 +293,10 @@ def fit(pages: DataFrame, training_pages: int = TRAINING_PAGES) -> Forest | None
     from pyspark.ml.linalg import Vectors
 
     spark = pages.sparkSession
-    sample = pages.where("html IS NOT NULL").select("page_id", "html").orderBy(F.xxhash64("page_id", "html")).limit(training_pages).collect()
+    # the bound on the hash comes first, so that no task sends more pages than are chosen
+    hashed = pages.where("html IS NOT NULL").select("page_id", "html", F.xxhash64("page_id", "html").alias("_h"))
+    bound = hashed.select("_h").orderBy("_h").limit(training_pages).agg(F.max("_h")).first()[0]
+    sample = hashed.where(F.col("_h") <= bound).orderBy("_h").limit(training_pages).collect() if bound is not None else []
     rows = []
     for k, row in enumerate(sample):
         for source, plain in variants(row["html"], k):

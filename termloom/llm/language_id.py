@@ -9,7 +9,8 @@ as a share of the greatest possible.
 Profiles are learned from TRAINING_DOCS labelled documents per language at most, those with the least
 hash of doc_id; n-grams are counted in parallel and only the top ranks reach the driver.
 
-Defined cases: a null text or one without a letter is "und" with score 0; with no learned language all
+Defined cases: a null text or one without a letter (combining marks alone are none) is "und" with score 0; rows
+without a doc_id are not held out, so they are learned from; with no learned language all
 are "und"; of equal distances the first language in code-point order wins, of equally frequent n-grams
 the one with the lower code comes first; repeated rows are predicted alike; an empty table gives an
 empty result; lang, source and doc_id play no part in a prediction.
@@ -36,18 +37,19 @@ _LETTER: np.ndarray | None = None
 
 
 def letter_table() -> np.ndarray:
-    """Whether a code point is a letter or a combining mark."""
+    """2 for code points that are letters, 1 for combining marks, 0 for others."""
     global _LETTER
     if _LETTER is None:
-        _LETTER = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+        _LETTER = np.fromiter(("ML".find(unicodedata.category(chr(c))[0]) + 1 for c in range(0x110000)), np.uint8, 0x110000)
     return _LETTER
 
 
 def folded(text: str | None) -> np.ndarray:
     """Code points of the lower-cased letters, other characters as single blanks, a blank at each end."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letters = letter_table()[points]
-    if not letters.any():
+    kinds = letter_table()[points]
+    letters = kinds > 0
+    if not (kinds == 2).any():
         return np.zeros(0, np.int64)
     points = np.concatenate([[32], np.where(letters, points, 32), [32]]).astype(np.int64)
     return points[np.concatenate([[True], (points[1:] != 32) | (points[:-1] != 32)])]

@@ -87,7 +87,7 @@ def test_language_on_held_out_rows(spark):
 
 
 def test_language_without_letters(spark):
-    docs = spark.createDataFrame([(1, None, False), (2, "", False), (3, "12 3!", False)], "doc_id bigint, text string, held_out boolean")
+    docs = spark.createDataFrame([(1, None, False), (2, "", False), (3, "12 3!", False), (4, "3\u0301 \u0300\u0301 7", False)], "doc_id bigint, text string, held_out boolean")
     assert {r["lang_pred"] for r in language_id.predicted(docs, {"en": np.array([101])}).collect()} == {"und"}
 
 
