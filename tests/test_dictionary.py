@@ -9,7 +9,7 @@ from termloom.functions import units
 from termloom.operators import counters, setops, structure, substring, vocab
 from termloom.operators.dictionary import Dictionary
 
-TERMS = ["", "a", "app", "apple", "日本", "日本語", "emoji🙂x", "red rose"]
+TERMS = ["", "s", "sun", "sunny", "山", "山火事", "tea🍵pot", "low tide"]
 FEW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
@@ -28,30 +28,30 @@ def listed(df):
 
 def test_prefixes(spark, terms):
     d = Dictionary(terms)
-    assert listed(d.with_prefix("app").df) == ["app", "apple"]
+    assert listed(d.with_prefix("sun").df) == ["sun", "sunny"]
     assert listed(d.with_prefix("").df) == sorted(TERMS)
     assert listed(d.excluding("").df) == []
-    assert listed(d.excluding("app", "日").df) == ["", "a", "emoji🙂x", "red rose"]
-    many = spark.createDataFrame([("app",), ("日本",), ("zz",)], "prefix string")
-    assert listed(d.with_any_prefix(many).df) == ["app", "apple", "日本", "日本語"]
-    assert listed(d.excluding_any(many).df) == ["", "a", "emoji🙂x", "red rose"]
+    assert listed(d.excluding("sun", "山").df) == ["", "low tide", "s", "tea🍵pot"]
+    many = spark.createDataFrame([("sun",), ("山",), ("zz",)], "prefix string")
+    assert listed(d.with_any_prefix(many).df) == ["sun", "sunny", "山", "山火事"]
+    assert listed(d.excluding_any(many).df) == ["", "low tide", "s", "tea🍵pot"]
     assert "NestedLoop" not in plan(d.with_any_prefix(many).df)
-    assert [r["term"] for r in d.page_after("a", 2).collect()] == ["app", "apple"]
-    assert {(r["label"], r["is_final"]) for r in d.children("app").collect()} == {("l", False)}
+    assert [r["term"] for r in d.page_after("s", 2).collect()] == ["sun", "sunny"]
+    assert {(r["label"], r["is_final"]) for r in d.children("sun").collect()} == {("n", False)}
 
 
 def test_prefix_reaches_the_scan(spark, tmp_path, terms):
     terms.write.parquet(str(tmp_path / "t"))
-    assert "StringStartsWith(term,app)" in plan(Dictionary(spark.read.parquet(str(tmp_path / "t"))).with_prefix("app").df)
+    assert "StringStartsWith(term,sun)" in plan(Dictionary(spark.read.parquet(str(tmp_path / "t"))).with_prefix("sun").df)
 
 
 def test_null_values_are_members(spark, terms):
     d = Dictionary(terms)
-    probes = spark.createDataFrame([("app",), ("apple",), ("zz",)], "term string")
-    assert {tuple(r) for r in d.contains(probes).select("term", "found").collect()} == {("app", True), ("apple", True), ("zz", False)}
+    probes = spark.createDataFrame([("sun",), ("sunny",), ("zz",)], "term string")
+    assert {tuple(r) for r in d.contains(probes).select("term", "found").collect()} == {("sun", True), ("sunny", True), ("zz", False)}
     assert "" not in listed(d.valued_members().df)
-    up = d.upsert(spark.createDataFrame([("app", None), ("new", None)], "term string, value bigint"))
-    assert {r["term"]: r["value"] for r in up.df.collect()}["app"] is None
+    up = d.upsert(spark.createDataFrame([("sun", None), ("new", None)], "term string, value bigint"))
+    assert {r["term"]: r["value"] for r in up.df.collect()}["sun"] is None
     assert "new" in listed(up.df)
 
 
@@ -139,3 +139,21 @@ def test_vocabulary(spark):
     assert {tuple(r) for r in vocab.assign(None, seen).collect()} == {("b", 0), ("a", 1)}
     bad = vocab.bijection_conflicts(spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("c", 3)], "term string, value bigint"))
     assert {tuple(r) for r in bad.collect()} == {("a", 1, "duplicate_term"), ("a", 2, "duplicate_term"), ("b", 2, "duplicate_value")}
+
+
+def test_prefixes_of_bytes_and_numbers(spark):
+    d = Dictionary(spark.createDataFrame([("山火事",), ("山",), ("sun",)], "term string"), "byte")
+    assert listed(d.with_any_prefix(spark.createDataFrame([("山",)], "prefix string")).df) == ["山", "山火事"]
+    assert {(bytes(r["label"]), r["is_final"]) for r in d.children("山").collect()} == {("火".encode()[:1], False)}
+    rows = [([1, 2, 3], 1), ([1, 2], 2), ([9], 3), ([2**63 + 5, 7], 4)]
+    n = Dictionary(spark.createDataFrame([([__import__("decimal").Decimal(x) for x in seq], v) for seq, v in rows], "term array<decimal(20,0)>, value bigint"), "u64")
+    heads = spark.createDataFrame([([__import__("decimal").Decimal(x)],) for x in (1, 2**63 + 5)], "prefix array<decimal(20,0)>")
+    assert sorted(r["value"] for r in n.with_any_prefix(heads).df.collect()) == [1, 2, 4]
+    assert {(int(r["label"][0]), r["is_final"]) for r in n.children([1]).collect()} == {(2, True)}
+    assert [r["value"] for r in n.page_after([1, 2], 2).collect()] == [1, 3]
+
+
+def test_meet_of_nothing_is_null(spark):
+    tags = spark.createDataFrame([(i, t, None) for i in (0, 1) for t in ("x", "y")], "dict_idx int, term string, value array<int>")
+    assert {r["value"] for r in setops.intersection_valued(tags, 2, setops.meet_sets).collect()} == {None}
+    assert {r["value"] for r in setops.intersection_valued(tags, 2, setops.folded(lambda a, b: a)).collect()} == {None}

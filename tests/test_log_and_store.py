@@ -111,3 +111,15 @@ def test_formats(spark, tmp_path):
         formats.read_tsv(spark, str(tmp_path / "bad")).collect()
     with pytest.raises(Exception, match="line break"):
         formats.write_lines(spark.createDataFrame([("a\nb",)], "term string"), str(tmp_path / "broken"))
+
+
+def test_versions_without_a_manifest_stay(spark):
+    path = shared.fresh(spark, "test-store")
+    store = Store.create(spark, path, overlay=True)
+    store.publish(spark.createDataFrame([("a", 1)], "term string, value bigint"))
+    names = [n for n in shared.names(spark, path) if n.startswith("manifest-")]
+    assert len(names) == 1
+    shared.delete(spark, f"{path}/{names[0]}")
+    with pytest.raises(FileNotFoundError, match="no manifest"):
+        Store.open_with_recovery(spark, path)
+    assert "v=1" in shared.names(spark, path)
