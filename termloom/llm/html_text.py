@@ -7,10 +7,12 @@ up, drop the whole subtree or keep the element and decide on each child, weighte
 below a dropped ancestor.
 
 The trees are fitted on TRAINING_PAGES pages at most, chosen by a hash of their ids. As pages carry no
-labels these are made: elements of <article> or <main> that no boilerplate element encloses are main
-text. Each page is used as it is and in variants, in which the telling tags become plain <div>s with
-usual class names, and menus, notices, side bars, forms and reader comments are put in around and inside
-the main text.
+labels these are made from pages with an <article> or <main>: its elements are main text, but for
+sections that the standard's own elements (nav, aside, footer, form) or a few plain names set apart.
+Each such page is used as it is and in variants, whose labels come from how they are put together, not
+from names: the main text in an element of a usual, an invented or no name, or straight in the body, with
+menus, notices, side bars, adverts, forms and reader comments, of usual or invented names, around and
+inside it. A table without such pages is learned from made-up pages in the same variants.
 
 Defined cases: null and empty pages give an empty text; text outside any element belongs to the page's
 root; repeated rows are pages of their own; an empty table gives an empty result; other columns are not
@@ -20,6 +22,7 @@ read. Broken markup is read leniently: end tags without a start are skipped, wha
 from __future__ import annotations
 
 import html as html_lib
+import math
 import random
 import re
 from collections.abc import Iterator
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from termloom.llm.common import table
 
 TRAINING_PAGES = 150
-TREES, DEPTH = 15, 4
+TREES, DEPTH = 30, 5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|svg|iframe|textarea|title|select|button"
@@ -44,12 +47,17 @@ AGAINST = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead banner footer foot aside sidebar side rail widget widgets ad ads advert adverts"
     " advertisement advertising sponsor sponsored promo promotion promoted popup modal overlay cookie cookies consent gdpr notice notices alert comment comments"
     " comentarios disqus reply replies respond discussion form search login signup subscribe newsletter share sharing social related recommended recommendations"
-    " more popular trending tags tagcloud meta pagination pager skip toolbar copyright legal contentinfo complementary dialog button input".split()
+    " popular trending tags tagcloud meta pagination pager skip toolbar copyright legal contentinfo complementary dialog button input".split()
 )
 FOR = frozenset("article main content post entry story body text page articlebody maincontent blogpost hentry prose".split())
 
+#: Names that set a section inside the main text apart, for labels.
+APART = frozenset("nav aside footer form ad ads advert advertisement sponsored comments sidebar cookie newsletter".split())
+
+#: Attributes with balanced quotes, else whatever comes before the next >.
+_ATTRIBUTES = r"""(?:(?:[^>"'=]|=\s*"[^"]*"(?=[\s/>])|=\s*'[^']*'(?=[\s/>])|=(?!\s*["']))*(?=>)|[^>]*)"""
 _TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})>|<[!?][^>]*>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -131,12 +139,15 @@ class Page:
         below = against[:]
         children: list[int] = [0] * n
         same: dict[tuple[int, str], int] = {}
+        alike: dict[tuple, int] = {}
         place = [0] * n
         for v in range(1, n):
             p = parent[v]
             place[v] = children[p]
             children[p] += 1
             same[p, self.tags[v]] = same.get((p, self.tags[v]), 0) + 1
+            if self.tokens[v]:
+                alike[p, self.tags[v], self.tokens[v]] = alike.get((p, self.tags[v], self.tokens[v]), 0) + 1
         for v in range(n - 1, 0, -1):
             p = parent[v]
             for a in (chars, links, marks, blocks, tags, below):
@@ -144,9 +155,14 @@ class Page:
             if seen[v] and (not seen[p] or begin[v] < begin[p]):
                 begin[p], seen[p] = begin[v], True
         depth, above_against, above_for = [0] * n, [0] * n, [0] * n
+        # elements of one name in a row, as reader comments are
+        row, above_row, rows_below = [0] * n, [0] * n, [0] * n
         for v in range(1, n):
             p = parent[v]
             depth[v], above_against[v], above_for[v] = depth[p] + 1, above_against[p] + against[p], above_for[p] + pro[p]
+            row[v] = alike.get((p, self.tags[v], self.tokens[v]), 0)
+            above_row[v] = max(above_row[p], row[v])
+            rows_below[p] = max(rows_below[p], row[v])
         out = np.zeros((n, FEATURES))
         total = max(total, 1)
         for v in range(n):
@@ -156,7 +172,7 @@ class Page:
             out[v] = (
                 against[v], pro[v], above_against[v], above_for[v], depth[v], size, links[v] / (size or 1), size / tags[v], size / total, place[v] / siblings,
                 siblings, same.get((p, self.tags[v]), 1) / siblings, own[v], marks[v] / (size or 1), size / (blocks[v] or 1), (below[v] - against[v]) / tags[v],
-                begin[v] / total, size * siblings / (chars[p] or 1), self.tags[v] in INLINE,
+                begin[v] / total, size * siblings / (chars[p] or 1), self.tags[v] in INLINE, above_row[v], rows_below[v], bool(self.tokens[v]),
             )
         return out
 
@@ -189,7 +205,7 @@ class Page:
         return " ".join("".join(parts).split())
 
 
-FEATURES = 19
+FEATURES = 22
 
 
 class Forest:
@@ -229,66 +245,114 @@ class Forest:
         return out
 
 
-def labels(page: Page) -> np.ndarray:
-    """1 for elements of the main text, as the telling tags and tokens say."""
+#: Names that carry the labels of a variant; they are taken off before features are computed.
+MAIN, FURNITURE = "zzmain", "zzfurniture"
+
+
+def labels(page: Page, marked: bool) -> np.ndarray:
+    """1 for elements of the main text: by the marks of a variant, else those in <article> or <main>."""
     out = np.zeros(len(page.tags), np.int64)
-    inside, against = [False] * len(page.tags), [False] * len(page.tags)
+    inside, apart = [False] * len(page.tags), [False] * len(page.tags)
     for v in range(1, len(page.tags)):
-        p = page.parents[v]
-        mark = set(page.tokens[v]) | {page.tags[v]}
-        inside[v] = inside[p] or page.tags[v] in ("article", "main") or "main-text" in page.tokens[v]
-        against[v] = against[p] or bool(mark & AGAINST)
-        out[v] = inside[v] and not against[v]
+        p, tokens = page.parents[v], page.tokens[v]
+        inside[v] = inside[p] or (MAIN in tokens if marked else page.tags[v] in ("article", "main"))
+        apart[v] = apart[p] or FURNITURE in tokens or page.tags[v] in APART or not APART.isdisjoint(tokens)
+        out[v] = inside[v] and not apart[v]
+        if marked:
+            page.tokens[v] = tuple(t for t in tokens if t not in (MAIN, FURNITURE))
     return out
 
 
+_MAIN_TEXT = re.compile(r"<(article|main)\b[^>]*>(.*)</\1\s*>", re.S | re.I)
+
+
 def variants(source: str, seed: int) -> Iterator[tuple[str, bool]]:
-    """(page, whether <article> is told apart by a class only) as it is and with usual furniture."""
+    """(page, whether it is marked): the page as it is, then its main text in other layouts."""
+    found = _MAIN_TEXT.search(source)
+    if not found:
+        return
     yield source, False
     rng = random.Random(seed)
     words = re.sub(r"<[^>]*>", " ", source).split()[:400] or ["text"]
+    inner = found[2]
 
     def some(a: int, b: int) -> str:
         return " ".join(rng.choice(words) for _ in range(rng.randint(a, b)))
 
-    def box(tags: list[str], names: list[str], inner: str) -> str:
-        tag = rng.choice(tags)
-        return f'<{tag} {rng.choice(["class", "id"])}="{rng.choice(names)}">{inner}</{tag}>'
+    def content() -> str:
+        """The main text, or a short one made of its words."""
+        return inner if rng.random() < 0.5 else "".join(f"<p>{some(8, 60)}.</p>" for _ in range(rng.randint(1, 6)))
 
-    def links(n: int) -> str:
-        return "<ul>" + "".join(f'<li><a href="/x">{some(1, 4)}</a></li>' for _ in range(n)) + "</ul>"
+    def invented() -> str:
+        return "-".join("".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 3))) for _ in range(rng.randint(1, 2)))
 
-    def remarks() -> str:
-        return "".join(f'<div class="comment"><span>{some(1, 2)}</span><p>{some(5, 60)}</p></div>' for _ in range(rng.randint(1, 5)))
+    def box(tags: list[str], names: list[str], content: str, strange: bool) -> str:
+        tag, name = ("div", invented()) if strange else (rng.choice(tags), rng.choice(names))
+        return f'<{tag} {rng.choice(["class", "id"])}="{name}" itemprop="{FURNITURE}">{content}</{tag}>'
 
-    for plain in (False, True):
-        before = "".join(
-            [
-                box(["header", "div"], ["header", "masthead", "site-header"], f"<p>{some(2, 8)}</p>" + links(rng.randint(0, 4))),
-                box(["nav", "div"], ["menu", "navbar", "main-navigation", "breadcrumbs"], links(rng.randint(2, 9))),
-                box(["div", "section"], ["cookie-notice", "notice", "alert", "consent"], f"<p>{some(5, 40)}</p>"),
-            ]
-        )
-        after = "".join(
+    def links(n: int) -> str:
+        items = [f'<a href="/x">{some(1, 4)}</a>' for _ in range(n)]
+        return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if rng.random() < 0.7 else " ".join(items)
+
+    def remarks(strange: bool) -> str:
+        one = invented() if strange else rng.choice(["comment", "reply", "comment-body"])
+        who = rng.choice(["span", "b", "cite", "strong"])
+        return "".join(f'<div class="{one}"><{who}>{some(1, 2)}</{who}><p>{some(5, 60)}</p></div>' for _ in range(rng.randint(1, 5)))
+
+    def furniture(strange: bool) -> tuple[str, str, str]:
+        before = [
+            box(["header", "div"], ["header", "masthead", "site-header"], f"<p>{some(2, 8)}</p>" + links(rng.randint(0, 4)), strange),
+            box(["nav", "div"], ["menu", "navbar", "main-navigation", "breadcrumbs"], links(rng.randint(2, 9)), strange),
+            box(["div", "section"], ["cookie-notice", "notice", "alert", "consent"], f"<p>{some(5, 40)}</p>", False),
+            box(["div"], ["ad", "advert", "sponsored"], some(4, 40), False),
+        ]
+        after = [
+            box(["aside", "div"], ["sidebar", "related", "widget", "popular"], f"<h3>{some(1, 4)}</h3>" + links(rng.randint(2, 6)) + f"<p>{some(5, 50)}</p>", False),
+            box(["section", "div"], ["comments", "comment-list", "discussion"], f"<h2>{some(1, 2)}</h2>" * rng.randint(0, 1) + remarks(strange), strange),
+            box(["form", "div"], ["search", "newsletter", "subscribe", "login-form"], f"<label>{some(1, 4)}</label><p>{some(2, 25)}</p>", False),
+            box(["footer", "div"], ["footer", "site-footer", "copyright"], f"<p>&copy; {some(3, 40)}</p>" + links(rng.randint(0, 5)), False),
+        ]
+        inside = rng.choice(
             [
-                box(["aside", "div"], ["sidebar", "related", "widget", "popular"], f"<h3>{some(1, 4)}</h3>" + links(rng.randint(2, 6)) + f"<p>{some(5, 50)}</p>"),
-                box(["section", "div"], ["comments", "comment-list", "discussion"], f"<h2>{some(1, 2)}</h2>" + remarks()),
-                box(["form", "div"], ["search", "newsletter", "subscribe", "login-form"], f"<label>{some(1, 4)}</label><p>{some(2, 25)}</p>"),
-                box(["footer", "div"], ["footer", "site-footer", "copyright"], f"<p>{some(3, 40)}</p>" + links(rng.randint(0, 5))),
+                "",
+                box(["div"], ["ad", "advert", "sponsored"], f"<p>{some(4, 40)}</p>", False),
+                box(["aside", "div"], ["share", "social", "related"], links(3), False),
+                box(["section", "div"], ["comments", "comment-list"], remarks(strange), strange),
             ]
         )
-        inner = rng.choice(["", box(["div"], ["ad", "advert", "sponsored"], f"<p>{some(4, 40)}</p>"), box(["aside", "div"], ["share", "social", "related"], links(3)), box(["section"], ["comments"], remarks())])
-        page = source.replace("</article>", inner + "</article>", 1)
-        page = page.replace("<article", before * (rng.random() < 0.8) + "<article", 1).replace("</article>", "</article>" + after * (rng.random() < 0.8), 1)
-        if plain:
-            name = rng.choice(["content", "post", "entry-content", "article-body", "story", "main"])
-            page = page.replace("<article", f'<div class="{name}" itemprop="main-text"', 1).replace("</article>", "</div>", 1)
-            page = page.replace("<nav", '<div class="menu"').replace("</nav>", "</div>").replace("<footer", '<div class="footer"').replace("</footer>", "</div>")
-        yield page, plain
+        return tuple("".join(x for x in part if rng.random() < 0.75) for part in (before, [inside], after))
+
+    head = f"<html><head><title>{some(2, 8)}</title></head>"
+    named = rng.choice(["content", "post", "entry-content", "article-body", "story", "main", "post-content", "page-text"])
+    for opening, closing, strange in (
+        (f'<article itemprop="{MAIN}">', "</article>", False),
+        (f'<main itemprop="{MAIN}"><div class="{invented()}">', "</div></main>", True),
+        (f'<div class="{named}" itemprop="{MAIN}">', "</div>", False),
+        (f'<div id="{invented()}" itemprop="{MAIN}">', "</div>", True),
+        (f'<div itemprop="{MAIN}">', "</div>", rng.random() < 0.5),
+    ):
+        before, inside, after = furniture(strange)
+        wrap = rng.choice([("", ""), ("<div>", "</div>"), (f'<div id="{invented()}">', "</div>")])
+        yield f"{head}<body>{wrap[0]}{before}{opening}{content()}{inside}{closing}{after}{wrap[1]}</body></html>", True
+    yield f'{head}<body itemprop="{MAIN}">{content()}</body></html>', True
+    yield f'{head}<body><div itemprop="{MAIN}">{content()}</div></body></html>', True
+    yield f'<div itemprop="{MAIN}">{content() if rng.random() < 0.5 else some(8, 200)}</div>', True
+
+
+def made_up(seed: int) -> str:
+    """A page with an article of invented words, for tables that have no page to learn from."""
+    rng = random.Random(seed)
+
+    def sentence() -> str:
+        said = " ".join("".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(4, 20)))
+        return said.capitalize() + "."
+
+    paragraphs = "".join("<p>" + " ".join(sentence() for _ in range(rng.randint(1, 8))) + "</p>" for _ in range(rng.randint(1, 9)))
+    return f"<html><body><article><h1>{sentence()}</h1>{paragraphs}</article></body></html>"
 
 
 def fit(pages: DataFrame, training_pages: int = TRAINING_PAGES) -> Forest | None:
-    """The trees, fitted on at most training_pages pages and their variants; None if there is no page to learn from."""
+    """The trees, fitted on at most training_pages pages and their variants; None for a table without a page."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.linalg import Vectors
 
@@ -297,28 +361,19 @@ def fit(pages: DataFrame, training_pages: int = TRAINING_PAGES) -> Forest | None
     hashed = pages.where("html IS NOT NULL").select("page_id", "html", F.xxhash64("page_id", "html").alias("_h"))
     bound = hashed.select("_h").orderBy("_h").limit(training_pages).agg(F.max("_h")).first()[0]
     sample = hashed.where(F.col("_h") <= bound).orderBy("_h").limit(training_pages).collect() if bound is not None else []
+    if not sample:
+        return None
+    sources = [row["html"] for row in sample if _MAIN_TEXT.search(row["html"])] or [made_up(k) for k in range(60)]
     rows = []
-    for k, row in enumerate(sample):
-        for source, plain in variants(row["html"], k):
+    for k, base in enumerate(sources):
+        for source, marked in variants(base, k):
             page = Page(source)
-            if plain:  # the mark that carries the label is no feature
-                roots = [v for v, t in enumerate(page.tokens) if t[-2:] == ("main", "text")]
-                truth = np.zeros(len(page.tags), np.int64)
-                against = [False] * len(page.tags)
-                for v in range(1, len(page.tags)):
-                    against[v] = against[page.parents[v]] or bool((set(page.tokens[v]) | {page.tags[v]}) & AGAINST)
-                    truth[v] = (truth[page.parents[v]] or v in roots) and not against[v]
-                for v in roots:
-                    page.tokens[v] = page.tokens[v][:-2]
-            else:
-                truth = labels(page)
-            x = page.features()
-            rows += [(float(y), Vectors.dense(f)) for y, f in zip(truth[1:], x[1:], strict=True)]
-    if len({y for y, _ in rows}) < 2:
-        return None
-    frame = spark.createDataFrame(rows, ["label", "features"]).coalesce(2).persist()
+            truth = labels(page, marked)
+            # an element weighs more the more text it holds, as in decoding
+            rows += [(float(y), Vectors.dense(f), 1 + math.log1p(f[5])) for y, f in zip(truth[1:], page.features()[1:], strict=True)]
+    frame = spark.createDataFrame(rows, ["label", "features", "weight"]).coalesce(2).persist()
     try:
-        return Forest.of(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=11, maxBins=32).fit(frame))
+        return Forest.of(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=11, maxBins=64, weightCol="weight").fit(frame))
     finally:
         frame.unpersist()
 
