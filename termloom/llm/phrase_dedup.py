@@ -7,7 +7,7 @@
    stream through it; every occurrence of a phrase is located. An automaton is thus never larger than
    its block, a phrase that all documents share goes to each block once, and a document meets one shard.
 4. A 35-word window whose anchor is a located phrase may recur (any other can't): those windows' hashes
-   are counted over the corpus, and words in windows that occur twice or more are removed.
+   (two of 64 bits) are counted over the corpus, and words in windows that occur twice or more are removed.
 
 Defined cases: a null or empty text has no words; a text below 35 words keeps all; repeated rows are
 documents of their own, so their windows recur; a null doc_id is a document as any other; an empty
@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from termloom.llm.anchors import candidates, chosen, key, recurring, short, window_anchors
-from termloom.llm.common import SPACE, SPACE_RE, encoded, merged, partitions, rolled, stored, table, text_bytes, word_hashes
+from termloom.llm.common import SPACE, SPACE_RE, encoded, merged, mixed, partitions, rolled, stored, table, text_bytes, word_hashes
 
 WINDOW, PHRASE = 35, 16
 BLOCK_BYTES = 4_000_000
+#: Sets the second hash of a window apart from the first.
+SECOND = np.uint64(0x2545F4914F6CDD1D)
 
 
 class Shard:
@@ -126,13 +128,14 @@ def removed_words(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, b
                 spoken_grams[starts] = grams[starts]
                 places = np.flatnonzero(window_anchors(spoken_grams, width) == window_anchors(grams, width))
                 if len(places):
-                    hashes = rolled(hashes, window)[places].view(np.int64)
-                    out.append(pd.DataFrame({"window": hashes, "rk": rk, "place": places.astype(np.int32)}))
+                    first = rolled(hashes, window)[places].view(np.int64)
+                    second = rolled(mixed(hashes ^ SECOND), window)[places].view(np.int64)
+                    out.append(pd.DataFrame({"window": first, "again": second, "rk": rk, "place": places.astype(np.int32)}))
             if out:
                 yield pd.concat(out)
 
-    windows = stream.mapInPandas(locate, "window long, rk long, place int")
-    again = windows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("window"))).where("n > 1")
+    windows = stream.mapInPandas(locate, "window long, again long, rk long, place int")
+    again = windows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("window", "again"))).where("n > 1")
     places = again.groupBy("rk").agg(F.collect_list("place").alias("places"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
