@@ -4,7 +4,6 @@ from collections import Counter
 
 import pytest
 
-
 from termloom.llm import html_text
 
 SF = "/root/testdata/sf0.001"
